@@ -138,7 +138,10 @@ def train(texts: list[str], toxic: list[int], toxic_size: int = 65_536, ordinary
     if not len(y) or y.min() == y.max():
         base = float(y.mean()) if len(y) else 0.0
         return ToxicityModel(LEAD, LEAD, np.zeros(256), np.array([0, 0, 0, 0, np.log((base + 0.01) / (1.01 - base))]), np.zeros(4), np.ones(4))
-    fold = np.arange(len(y)) % 3 == 2 if len(y) >= 60 else np.zeros(len(y), bool)
+    fold = np.zeros(len(y), bool)
+    if len(y) >= 60:  # every third row of each label
+        for v in (0, 1):
+            fold[np.flatnonzero(y == v)[2::3]] = True
     fit = [t for t, k in zip(texts, fold, strict=True) if not k]
     words = contrast(fit, y[~fold], max(1, min(3, int((y[~fold] == 1).sum()) // 60), int((y[~fold] == 1).sum()) // 200))
     # the heaviest words come last in raw content and often in the samples: near matches cost fewer bits
