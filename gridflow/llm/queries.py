@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, packing, suffix, tokens, toxicity
+from . import jaccard, langid, lines, packing, suffix, tokens, toxicity, vectors
 from .common import shared_path
 
 #: Rows that the classifiers are fitted on, at most; they come to the driver.
@@ -30,6 +30,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.with_components(_docs(spark, sf_dir), 80, 5).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "op3")
     tokens.write_tokens(tokens.encode(tokens.sorted_docs(_docs(spark, sf_dir)), tokenizer(), 1), path)
@@ -68,8 +72,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", (langid.crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 100 == 0, 10, 1024)
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 50 == 0, 5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_token_ids, op4_line_dedup, op6_toxicity, op7_packing, op8_language_id)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_join, op3_token_ids, op4_line_dedup, op6_toxicity, op7_packing, op8_language_id, op9_exact_top_k, op10_nearest)}
 
 
 #: Lines of every document; the whole semantics in SQL.
@@ -87,5 +99,18 @@ FROM m GROUP BY doc_id
 """
 
 
+#: Whole scores fit doubles exactly: |floor(1024 x)| stays far below 2**26 for unit vectors of 64 dimensions.
+_OP9 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": _OP4}
+    return {"op4_line_dedup": _OP4, "op9_exact_top_k": _OP9}
