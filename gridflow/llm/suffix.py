@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,9 @@ from .common import LETTER, U64, as_long, batch_of, checkpoint, mix, prefix_hash
 
 #: Length of the strings by whose hashes anchors are chosen, as a share of the repeat's length.
 ANCHOR_SHARE = 0.25
-#: A group with more rows goes by hashes of single windows, spread over the cluster, and not to one task.
-MOST_IN_GROUP = 4096
+#: A group of more different contexts is dealt by finer keys: NARROW windows and the bytes that all of them hold;
+#: where that leaves as many in one group, by hashes of single windows. No task gets an unbounded group.
+MOST_IN_GROUP, NARROW = 4096, 32
 
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -66,8 +68,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple
     return text, h[at], g, at - base, lo - base, hi - base
 
 
-ANCHOR = pa.schema([("row", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("at", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
-_ANCHOR = "row long, h long, g long, at int, lo int, hi int"
+ANCHOR = pa.schema([("row", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("c", pa.int32()), ("at", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
+_ANCHOR = "row long, h long, g long, c int, at int, lo int, hi int"
 
 
 # --- suffix sort of the contexts of one block -------------------------------------------------
@@ -217,29 +219,49 @@ def repeated_ranges(base: DataFrame, length: int) -> DataFrame:
     k = max(1, int(length * ANCHOR_SHARE))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # anchors with the same bytes twice in a slice are settled here: their runs of windows, and one row that counts them
         for b in slices(batches, "text"):
             data, offsets = utf8(b.column(1))
             text, h, g, at, lo, hi = anchors(data, offsets, length, k)
-            if len(text):
-                yield batch_of(ANCHOR, b.column(0).take(pa.array(text)), as_long(h), as_long(g), at.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32))
+            if not len(text):
+                continue
+            row = b.column(0).to_numpy()[text]
+            order = np.lexsort((g, h))
+            new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])])
+            first = np.flatnonzero(new)
+            count = np.diff(np.concatenate([first, [len(order)]]))
+            one = order[first]
+            yield batch_of(ANCHOR, row[one], as_long(h[one]), as_long(g[one]), count.astype(np.int32), at[one].astype(np.int32), lo[one].astype(np.int32), hi[one].astype(np.int32))
+            again = np.sort(order[np.repeat(count > 1, count)])
+            if len(again):
+                base = offsets[text[again]]
+                s, e = runs(base + lo[again], base + hi[again] + 1)
+                of = np.searchsorted(offsets, s, "right") - 1
+                none = pa.nulls(len(s), pa.int64())
+                yield batch_of(ANCHOR, b.column(0).to_numpy()[of], none, none, pa.nulls(len(s), pa.int32()), pa.nulls(len(s), pa.int32()), (s - offsets[of]).astype(np.int32), (e - 1 - offsets[of]).astype(np.int32))
 
     path = shared_path(spark, "anchors")
     base.select("row", "text").mapInArrow(choose, _ANCHOR).write.parquet(path)
     every = spark.read.parquet(path)
     # an anchor seen once has no equal window anywhere; counts are summed in each task before they travel
-    shared = every.groupBy("h").agg(F.count("*").alias("n"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("n > 1").select("h", "n", (F.col("g0") != F.col("g1")).alias("mixed"))
-    some = checkpoint(every.join(shared, "h"))
+    shared = every.where("h is not null").groupBy("h").agg(F.sum("c").alias("n"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("n > 1").select("h", (F.col("g0") != F.col("g1")).alias("mixed"))
+    some = checkpoint(every.where("h is not null").join(shared, "h").unionByName(every.where("h is null").withColumn("mixed", F.lit(None).cast("boolean"))))
     remove(spark, path)
-    kinds = some.groupBy("h", "g").agg(F.count("*").alias("c"), F.first("row").alias("row"), F.first("at").alias("at"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("n").alias("n"), F.first("mixed").alias("mixed"))
+    settled = some.where("h is null").select("row", "lo", "hi")
+    some = some.where("h is not null")
+    kinds = some.groupBy("h", "g").agg(F.sum("c").alias("c"), F.first("row").alias("row"), F.first("at").alias("at"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("mixed").alias("mixed"))
     # the same bytes around the same anchor twice: all its windows repeat
-    whole = some.join(kinds.where("c > 1").select("h", "g"), ["h", "g"]).select("row", "lo", "hi")
-    asked = kinds.where("mixed").groupBy("row").agg(F.collect_list(F.struct("h", "at", "lo", "hi", (F.col("c") > 1).alias("known"), (F.col("n") > MOST_IN_GROUP).alias("large"))).alias("asked"))
+    whole = some.where("c = 1").join(kinds.where("c > 1").select("h", "g"), ["h", "g"]).select("row", "lo", "hi")
+    sizes = kinds.where("mixed").groupBy("h").agg((F.count("*") > MOST_IN_GROUP).alias("large"))
+    asked = kinds.where("mixed").join(sizes, "h").groupBy("row").agg(F.collect_list(F.struct("h", "at", "lo", "hi", (F.col("c") > 1).alias("known"), "large")).alias("asked"))
     context = base.select("row", "text").join(asked, "row").select("row", "text", "asked").mapInArrow(lambda it: _contexts(it, length), "h long, row long, lo int, place int, owned int, known boolean, large boolean, context binary")
-    small = context.where("not large").drop("large").repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: _sorted_groups(it, length), "row long, lo int, hi int")
-    windows = context.where("large").drop("large").mapInArrow(lambda it: _windows(it, length), "w long, v long, row long, at int, known boolean")
+    crowd = context.where("large").groupBy("h").count().where(F.col("count") > MOST_IN_GROUP).select("h")
+    fine = context.where("large").join(crowd, "h", "left_anti")
+    small = context.where("not large").unionByName(fine).drop("large").repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: _sorted_groups(it, length), "row long, lo int, hi int")
+    windows = context.where("large").join(crowd, "h", "left_semi").drop("large").mapInArrow(lambda it: _windows(it, length), "w long, v long, row long, at int, known boolean")
     twice = windows.groupBy("w", "v").count().where("count > 1").select("w", "v")
     large = windows.where("not known").join(twice, ["w", "v"]).select("row", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    found = whole.unionByName(small).unionByName(large)
+    found = settled.unionByName(whole).unionByName(small).unionByName(large)
     return found.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
@@ -253,8 +275,16 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         raw, rows = data.tobytes(), []
         for i, (row, asked) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
             for a in asked:
-                s = int(o[i]) + a["lo"]
-                rows.append((a["h"], row, a["lo"], a["at"] - a["lo"], a["hi"] - a["lo"] + 1, a["known"], a["large"], raw[s : int(o[i]) + a["hi"] + length]))
+                start, at = int(o[i]), a["at"]
+                if not a["large"]:
+                    rows.append((a["h"], row, a["lo"], at - a["lo"], a["hi"] - a["lo"] + 1, a["known"], False, raw[start + a["lo"] : start + a["hi"] + length]))
+                    continue
+                for j in range((at - a["hi"]) // NARROW, (at - a["lo"]) // NARROW + 1):
+                    lo, hi = max(a["lo"], at - NARROW * j - NARROW + 1), min(a["hi"], at - NARROW * j)
+                    # what all windows of this distance from the anchor hold
+                    core = raw[start + at - NARROW * j : start + at - NARROW * j - NARROW + 1 + length]
+                    key = int.from_bytes(hashlib.blake2b(core, digest_size=8, key=f"{a['h']},{j}".encode()).digest(), "little", signed=True)
+                    rows.append((key, row, lo, at - lo, hi - lo + 1, a["known"], True, raw[start + lo : start + hi + length]))
         if rows:
             yield batch_of(CONTEXT, *zip(*rows, strict=True))
 
