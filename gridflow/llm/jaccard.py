@@ -14,8 +14,8 @@ from .common import LETTER, U64, as_long, batch_of, checkpoint, components, mix,
 #: The counts that order n-grams by rarity: a fixed table of 2**SKETCH_BITS cells, whatever the input.
 SKETCH_BITS = 20
 SKETCH_CHUNK = 1 << 15
-#: Parts of the hash space whose sizes bound an overlap.
-PARTS = 16
+#: Words of 64 bits of a set's parity bitmap: each n-gram flips one bit, so two sets differ in no fewer n-grams than bits.
+WORDS = 16
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,12 +68,12 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
-SETS = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("parts", pa.list_(pa.int32())), ("chunk", pa.int32()), ("counts", pa.binary())])
-_SETS = "row long, id long, n int, node long, parts array<int>, chunk int, counts binary"
+SETS = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("bits", pa.list_(pa.int64())), ("chunk", pa.int32()), ("counts", pa.binary())])
+_SETS = "row long, id long, n int, node long, bits array<long>, chunk int, counts binary"
 
 
 def _describe(size: int):
-    """Each row's set size, a hash of its set, and its n-grams by parts of the hash space; at the end the partition's sketch."""
+    """Each row's set size, a hash of its set, and its parity bitmap; at the end the partition's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -88,8 +88,9 @@ def _describe(size: int):
             if len(h):
                 at = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
                 node[text[at]] = mix(np.add.reduceat(mix(h), at) ^ mix(np.bitwise_xor.reduceat(mix(h ^ U64(0x2545F4914F6CDD1D)), at) + n[text[at]].astype(np.uint64)))
-            parts = np.bincount(text * PARTS + (h & U64(PARTS - 1)).astype(np.int64), minlength=b.num_rows * PARTS).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(parts) + 1, PARTS, dtype=np.int32)), pa.array(parts))
+            flips = np.bincount(text * (64 * WORDS) + (h & U64(64 * WORDS - 1)).astype(np.int64), minlength=b.num_rows * 64 * WORDS)
+            words = np.packbits((flips & 1).astype(np.uint8), bitorder="little").view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, WORDS, dtype=np.int32)), pa.array(words))
             yield batch_of(SETS, b.column(0), b.column(1), n.astype(np.int32), pa.array(as_long(node), mask=n == 0), lists, pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary()))
         for k in range(0, len(sketch), SKETCH_CHUNK):
             part = sketch[k : k + SKETCH_CHUNK]
@@ -159,7 +160,10 @@ SHARED = pa.schema([*TOKEN, ("hub", pa.int64()), ("hub_n", pa.int32()), ("hub_po
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token and node: those of tokens of several nodes, with the token's first node as its hub.
+    """Rows sorted by token, place and node: those of tokens of several nodes, with the token's first node as its hub.
+
+    The set in which the n-gram stands first has the fewest rarer n-grams: of a
+    group of near copies it is the one that the others were made from.
 
     Only one row of the group at hand is kept between batches.
     """
@@ -172,6 +176,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if carry is not None:
             t, v, n, p = (np.concatenate([[x], y]) for x, y in zip(carry[:4], (t, v, n, p), strict=True))
             sent = np.concatenate([[carry[4]], sent])
+        # copies have equal places, so that they stand together
         keep = np.concatenate([[True], (t[1:] != t[:-1]) | (v[1:] != v[:-1])])
         t, v, n, p, sent = t[keep], v[keep], n[keep], p[keep], sent[keep]
         first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
@@ -192,6 +197,13 @@ def _can_link(n: str, m: str, p: str, q: str, percent: int):
     return (100 * F.least(n_, m_) >= percent * F.greatest(n_, m_)) & ((100 + percent) * most >= percent * (n_ + m_))
 
 
+def _few_differences(x: str, y: str, n: str, m: str, percent: int):
+    """Suffix filter on whole sets: bits that differ in the parity bitmaps bound the overlap from above."""
+    differ = sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, WORDS)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
+    total = F.col(n) + F.col(m)
+    return (100 + percent) * (total - differ) >= 2 * percent * total
+
+
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -231,8 +243,8 @@ def similar(docs: DataFrame, percent: int = 80, size: int = 5, text_col: str = "
     n-gram's nodes are first compared with one hub, which joins groups of near
     copies by as many pairs as members; then nodes of the n-gram that are still
     in different components are compared with each other. Lengths, places in
-    the prefix and part sizes of the sets rule pairs out before each remaining
-    pair is verified once on its whole texts.
+    the prefix and parity bitmaps of the sets rule pairs out before each
+    remaining pair is verified once on its whole texts.
     """
     spark: SparkSession = docs.sparkSession
     base = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -241,20 +253,19 @@ def similar(docs: DataFrame, percent: int = 80, size: int = 5, text_col: str = "
     sketch = spark.sparkContext.broadcast(np.minimum(_sketch(info), 2**32 - 1).astype("<u4").tobytes())
     path = shared_path(spark, "shared-tokens")
     tokens = base.select("text").mapInArrow(_prefixes(size, percent, sketch), "token long, node long, n int, pos int")
-    tokens.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_stars, "token long, node long, n int, pos int, hub long, hub_n int, hub_pos int").write.parquet(path)
+    tokens.repartition("token").sortWithinPartitions("token", "pos", "node").mapInArrow(_stars, "token long, node long, n int, pos int, hub long, hub_n int, hub_pos int").write.parquet(path)
     shared = spark.read.parquet(path)
 
-    attrs = info.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("parts").alias("parts"))
+    attrs = info.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     texts_path = shared_path(spark, "candidate-texts")
-    wanted = shared.select("node").distinct().join(attrs, "node").select("node", "row", "n", "parts")
-    base.select("row", "text").join(wanted, "row").dropDuplicates(["node"]).select("node", "n", "parts", "text").write.option("compression", "zstd").parquet(texts_path)
+    wanted = shared.select("node").distinct().join(attrs, "node").select("node", "row", "n", "bits")
+    base.select("row", "text").join(wanted, "row").dropDuplicates(["node"]).select("node", "n", "bits", "text").write.option("compression", "zstd").parquet(texts_path)
     texts = spark.read.parquet(texts_path)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        bound = F.expr("aggregate(zip_with(pa, pb, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
-        left = texts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa"))
-        right = texts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb"))
-        fit = pairs.join(left, "a").join(right, "b").where((100 + percent) * bound >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+        left = texts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("pa"))
+        right = texts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("pb"))
+        fit = pairs.join(left, "a").join(right, "b").where(_few_differences("pa", "pb", "na", "nb", percent)).select("a", "b")
         full = fit.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
         return checkpoint(full.select("a", "b", "ta", "tb").mapInArrow(_verify(size, percent), "a long, b long"))
 
@@ -264,9 +275,9 @@ def similar(docs: DataFrame, percent: int = 80, size: int = 5, text_col: str = "
     known = components(links)
     at = shared.select("token", "node", "n", "pos").join(known, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     open_ = at.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("token")
-    at = checkpoint(at.join(open_, "token"))
-    other = at.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("c").alias("d"))
-    pairs = at.withColumnRenamed("node", "a").join(other, "token").where((F.col("c") < F.col("d")) & _can_link("n", "m", "pos", "q", percent))
+    at = checkpoint(at.join(open_, "token").join(texts.select("node", "bits"), "node"))
+    other = at.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("c").alias("d"), F.col("bits").alias("bits_b"))
+    pairs = at.withColumnRenamed("node", "a").join(other, "token").where((F.col("c") < F.col("d")) & _can_link("n", "m", "pos", "q", percent) & _few_differences("bits", "bits_b", "n", "m", percent))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     links = links.union(verify(pairs))
