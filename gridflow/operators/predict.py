@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridflow.functions import any_true, not_negative, week_slot
 from gridflow.operators.labels import MIN_OBSERVED_PERCENT, eligible, is_queued
 from gridflow.operators.odme import REGULARISATION, estimate_flows
-from gridflow.operators.rel import latest_per_group
+from gridflow.operators.rel import latest_per_group, restore_answers
 from gridflow.operators.series import interpolate
 
 
@@ -25,6 +25,7 @@ class ReleaseTables:
     prior: DataFrame | None = None
     counts: DataFrame | None = None
     incidence: DataFrame | None = None
+    state_labels: DataFrame | None = None
     extra: dict[str, DataFrame] = field(default_factory=dict)
 
 
@@ -45,8 +46,11 @@ def weekly_profile(states: DataFrame, targets: DataFrame, values: Sequence[str]
 
 
 def baseline_state(tables: ReleaseTables, targets: DataFrame) -> DataFrame:
-    """Weekly profile; where a panel has no data the free speed and no flow."""
-    d = weekly_profile(tables.states, targets, panel=("panel",), good=eligible())
+    """Weekly profile of states with the answers of the history put back; where a panel has no data the free speed and no flow."""
+    states = tables.states
+    if tables.state_labels is not None:
+        states = restore_answers(states, tables.state_labels, ["panel", "timestamp", "station_id", "link_id"], ["speed_kmh", "flow_vph"])
+    d = weekly_profile(states, targets, panel=("panel",), good=eligible())
     free = tables.links.select("panel", "link_id", "free_speed_kmh")
     out = d.join(free, ["panel", "link_id"], "left")
     return out.withColumns({"speed_kmh": F.coalesce("speed_kmh", "free_speed_kmh", F.lit(0.0)), "flow_vph": F.coalesce("flow_vph", F.lit(0.0))}).select(*targets.columns)

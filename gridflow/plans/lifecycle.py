@@ -216,7 +216,7 @@ def experiment(spark: SparkSession, path: str, task: str, solution: str = "basel
         targets = read(f"{task}_targets")
         s = rel_io.redact(s, task, targets)
         counts = s.counts.withColumn("split", F.lit("train")) if s.counts is not None else None
-        pred = solve(task, predict.ReleaseTables(s.states, s.network["links"], s.queue_history, s.prior, counts, read("incidence")), targets, params or {})
+        pred = solve(task, predict.ReleaseTables(s.states, s.network["links"], s.queue_history, s.prior, counts, read("incidence"), s.state_labels), targets, params or {})
         key = [*KEYS[task], *(["scenario"] if "scenario" in targets.columns else [])]
         out = f"{runs or path + '/runs'}/{run.run_id}"
         pred.write.parquet(f"{out}/predictions")
@@ -246,7 +246,7 @@ def predict_release(spark: SparkSession, release_path: str, start, end, history_
     for task in tasks:
         if task in targets:
             safe = rel_io.redact(s, task, targets[task])
-            tables = predict.ReleaseTables(safe.states, safe.network["links"], safe.queue_history, safe.prior, safe.counts, safe.network["path_link_incidence"])
+            tables = predict.ReleaseTables(safe.states, safe.network["links"], safe.queue_history, safe.prior, safe.counts, safe.network["path_link_incidence"], safe.state_labels)
             out[task] = solve(task, tables, targets[task], params or {})
     return out
 

@@ -83,7 +83,8 @@ class Release:
         return {s: Interval(read(c[s]["start"]), read(c[s]["end_exclusive"])) for s in SPLITS if s in c}
 
     def has(self, name: str) -> bool:
-        return name in self._names
+        """Whether there is such a file, or a folder of part files under that name."""
+        return name in self._names or any(f.startswith(f"{name}/") for f in self.files)
 
     @cached_property
     def _names(self) -> set[str]:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from gridflow.functions import all_true, any_true, half_open, hash_seed, is_finite, normal, not_negative, week_slot
 from gridflow.operators import labels, odme, predict, rel, series, submit, validate, windows
-from gridflow.sources.schemas import SCHEMAS
 
 
 def values(d, *cols):
