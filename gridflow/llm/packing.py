@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, checkpoint, slices
-from .tokens import word_ids
+from .common import batch_of, checkpoint, slices, utf8
+from .tokens import SLICE, with_end, word_ids
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("doc_key", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -23,18 +23,21 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int, text_col: s
     Null and empty texts are one piece holding the end id. ``doc_key`` is a
     hash of id and text that tells rows of one doc_id apart.
     """
-    last = np.array([end], "<u2").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer)
-        for b in slices(batches, "text"):
-            rows: list[tuple] = []
-            for d, key, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                raw = words.text(t) + last
-                n = len(raw) // 2
-                wide = np.frombuffer(raw, "<u2").astype("<u4").tobytes()
-                rows += [(d, key, k, s, min(capacity, n - s), zlib.crc32(wide[4 * s : 4 * (s + capacity)])) for k, s in enumerate(range(0, n, capacity))]
-            yield batch_of(PIECES, *zip(*rows, strict=True))
+        for b in slices(batches, "text", SLICE):
+            ids, at = with_end(*words.encode(*utf8(b.column(2))), end)
+            n = np.diff(at)
+            parts = -(-n // capacity)
+            of = np.repeat(np.arange(len(n)), parts)
+            piece = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+            start = piece * capacity
+            length = np.minimum(capacity, n[of] - start)
+            wide = memoryview(ids.astype("<u4").tobytes())
+            lo = 4 * (at[of] + start)
+            crc = [zlib.crc32(wide[i:j]) for i, j in zip(lo.tolist(), (lo + 4 * length).tolist(), strict=True)]
+            row = pa.array(of)
+            yield batch_of(PIECES, b.column(0).take(row), b.column(1).take(row), piece.astype(np.int32), start, length, crc)
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("doc_key"), F.col(text_col).cast("string").alias("text"))
     return d.mapInArrow(run, "doc_id long, doc_key long, piece int, start long, length long, ids_crc32 long")

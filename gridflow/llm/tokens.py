@@ -14,29 +14,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, remove, shared_path, slices
+from .common import batch_of, mix, remove, shared_path, slices, utf8
 
-#: ASCII marks that never join a letter in one token of the splitting pattern or compose with it.
-MARKS = ".,;:!?"
+#: ASCII marks that make a token of their own after a letter or digit.
+MARKS = b".,;:!?"
 #: Words kept in each worker's memory; the memory is emptied when full.
-MEMORY = 600_000
+MEMORY = 700_000
+SLICE = 1 << 22
 
 
-class WordIds(dict):
-    """Maps words without spaces to the little-endian unsigned 16-bit ids of a tokenizer that drops white space.
+class WordIds:
+    """Ids of whole texts by a tokenizer that folds case and drops white space.
 
     Such a tokenizer collapses white space and never makes a token across it,
-    so a text's ids are those of its words in order. Words of plain letters
-    with trailing marks are split here, which only saves calls: letters and
-    marks are separate tokens of the splitting pattern.
+    so a text's ids are those of its words in order. The words of a slice of
+    texts are found, lower-cased (ASCII and Latin-1) and told apart by array operations, only
+    its distinct words are looked up in a memory, and only new ones are encoded
+    by the library. Marks behind a letter or digit are words of their own.
     """
 
     def __init__(self, path: str, most: int = MEMORY):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tok, self.most = Tokenizer.from_file(path), most
+        self.tok, self.most, self.memory = Tokenizer.from_file(path), most, {}
         spec = json.loads(self.tok.to_str())
         pattern = json.dumps(spec.get("pre_tokenizer"))
         normal = json.dumps(spec.get("normalizer"))
@@ -44,37 +45,124 @@ class WordIds(dict):
             raise ValueError("this tokenizer doesn't drop white space and fold case; words can't be encoded one by one")
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
+        # strings that the library finds before it folds case; texts that hold their beginning keep their case
+        self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
         # the byte alphabet of byte-level models: printable bytes stand for themselves, others follow from 256
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [i for i in range(256) if i not in printable]
         self.alphabet = {i: i for i in printable} | {b: 256 + k for k, b in enumerate(other)}
+        self.pair = [i.to_bytes(2, "little") for i in range(1 << 16)]
 
-    def _encode(self, word: str) -> bytes:
+    def _library(self, word: str) -> bytes:
         return np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        core = word.rstrip(MARKS)
-        if core and core.isalpha() and (core.isascii() or (max(core) < "ɐ" and unicodedata.is_normalized("NFC", core))):
-            low = core.lower() if core.isascii() else core
-            if len(core) < len(word):
-                ids = self[low] + self[word[len(core) :]]
-            elif low != word:
-                ids = self[low]
-            elif low == core.lower():
-                plain = low if low.isascii() else low.encode().decode("latin-1").translate(self.alphabet)
-                ids = np.array([t.id for t in self.tok.model.tokenize(plain)], "<u2").tobytes()
-            else:
-                ids = self._encode(word)
+    def _word(self, raw: bytes) -> bytes:
+        """Ids of one word without spaces. Plain small letters are one token of the splitting pattern and go to the model itself."""
+        if raw.isalpha() and raw.islower():  # ASCII
+            plain = raw.decode()
         else:
-            ids = self._encode(word)
-        if len(word) < 64:
-            self[word] = ids
-        return ids
-
-    def text(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.split(" "))) if text else b""
+            word = raw.decode("utf-8", "replace")
+            if not (word.isalpha() and word == word.lower() and max(word) < "\u0250" and unicodedata.is_normalized("NFC", word)):
+                return self._library(word)
+            plain = raw.decode("latin-1").translate(self.alphabet)
+        pair = self.pair
+        return b"".join([pair[t.id] for t in self.tok.model.tokenize(plain)])
+
+    def look_up(self, words: list[bytes]) -> list[bytes]:
+        memory = self.memory
+        out = list(map(memory.get, words))
+        for i, ids in enumerate(out):
+            if ids is None:
+                ids = out[i] = self._word(words[i])
+                if len(words[i]) < 64:
+                    memory[words[i]] = ids
+        if len(memory) >= self.most:
+            memory.clear()
+        return out
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets into them by text) of the texts data[offsets[i] : offsets[i + 1]]."""
+        if not len(data):
+            return np.zeros(0, np.uint16), np.zeros(len(offsets), np.int64)
+        if any(x in memoryview(data).tobytes() for x in self.special):
+            # found before case is folded: each text that holds one goes to the library whole
+            raw = data.tobytes()
+            each = [np.frombuffer(self._library(t.decode("utf-8", "replace")), "<u2") if any(x in t for x in self.special) else self._plain(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in (raw[i:j] for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))]
+            return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+        return self._plain(data, offsets)
+
+    def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(data):
+            return np.zeros(0, np.uint16), np.zeros(len(offsets), np.int64)
+        low = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
+        # A-Z and, behind their lead byte, the capitals of Latin-1
+        lead = np.flatnonzero(low[:-1] == 0xC3) + 1
+        low[lead[(low[lead] >= 0x80) & (low[lead] <= 0x9E) & (low[lead] != 0x97)]] += 32
+        raw = low.tobytes()
+        space = np.flatnonzero((data == 32) | ((data >= 9) & (data <= 13)))
+        start = np.insert(space + 1, np.searchsorted(space, offsets[:-1]), offsets[:-1])
+        stop = np.insert(space, np.searchsorted(space, offsets[1:]), offsets[1:])
+        by_text = np.searchsorted(space, offsets) + np.arange(len(offsets))
+        # marks at the end, if a letter or digit stands before them
+        size, cut = stop - start, stop.copy()
+        for _ in range(3):
+            i = np.flatnonzero((cut - start > 1) & _IS_MARK[low[np.maximum(cut - 1, 0)]])
+            cut[i] -= 1
+        last, before = low[np.maximum(cut - 1, 0)], low[np.maximum(cut - 2, 0)]
+        latin = (cut - start > 1) & (before >= 0xC3) & (before <= 0xC5) & ((before > 0xC3) | ((last != 0x97) & (last != 0xB7))) & ((before != 0xC4) | (last != 0xB0))  # no letters; a letter that folds to a mark
+        plain = (_IS_PLAIN[last] | latin) & (size > 0)
+        cut = np.where(plain, cut, stop)
+        # units: each word without its marks, then its marks; most are empty
+        n = len(start)
+        a, b = np.empty(2 * n, np.int64), np.empty(2 * n, np.int64)
+        a[0::2], b[0::2], a[1::2], b[1::2] = start, cut, cut, stop
+        used = np.flatnonzero(b > a)
+        a, b = a[used], b[used]
+        code, words = _distinct(raw, a, b)
+        found = self.look_up(words)
+        length = np.fromiter(map(len, found), np.int64, len(found)) >> 1
+        flat = np.frombuffer(b"".join(found), "<u2")
+        first = np.cumsum(length) - length
+        count = length[code]
+        total = np.cumsum(count)
+        ids = flat[np.repeat(first[code] - (total - count), count) + np.arange(int(total[-1]) if len(total) else 0)]
+        # where each text's units begin among the used ones
+        ends = np.concatenate([[0], total])
+        return ids, ends[np.searchsorted(used, 2 * by_text)]
+
+
+_IS_MARK, _IS_PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+_IS_MARK[list(MARKS)] = True
+_IS_PLAIN[[*range(97, 123), *range(48, 58)]] = True
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+
+
+def _distinct(raw: bytes, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(code of each word raw[a:b], the distinct words): by their first and last eight bytes, longer ones by a dictionary."""
+    import pandas as pd
+
+    padded = np.frombuffer(raw + b"\0" * 8, np.uint8)
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    n = b - a
+    x = eight[a] & _KEEP[np.minimum(n, 8)]
+    y = np.where(n > 8, eight[np.maximum(b - 8, 0)], np.uint64(0))
+    key = mix(x ^ mix(y + n.astype(np.uint64)))
+    code, distinct = pd.factorize(key)
+    one = np.empty(len(distinct), np.int64)
+    one[code[::-1]] = np.arange(len(code))[::-1]
+    words = [raw[i:j] for i, j in zip(a[one].tolist(), b[one].tolist(), strict=True)]
+    # up to 16 bytes the two parts and the size are the word; all others are told apart by their bytes
+    odd = np.flatnonzero((n > 16) | (x != x[one][code]) | (y != y[one][code]) | (n != n[one][code]))
+    if len(odd):
+        known: dict[bytes, int] = {}
+        for i, p, q in zip(odd.tolist(), a[odd].tolist(), b[odd].tolist(), strict=True):
+            w = raw[p:q]
+            at = known.get(w)
+            if at is None:
+                at = known[w] = len(words)
+                words.append(w)
+            code[i] = at
+    return code, words
 
 
 _MEMORIES: dict[str, WordIds] = {}
@@ -90,18 +178,23 @@ def word_ids(path: str) -> WordIds:
 ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
 
+def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with ``end`` after each text's."""
+    return np.insert(ids, offsets[1:], np.uint16(end)).astype("<u2"), offsets + np.arange(len(offsets))
+
+
 def encode(docs: DataFrame, tokenizer: str, end: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, ids) with ids as little-endian unsigned 16-bit words, ``end`` appended to each document.
 
     Null and empty texts give the end id alone. Special strings in a text are
     what the tokenizer makes of them.
     """
-    last = np.array([end], "<u2").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer)
-        for b in slices(batches, "text"):
-            yield batch_of(ENCODED, b.column(0), [words.text(t) + last for t in b.column(1).to_pylist()])
+        for b in slices(batches, "text", SLICE):
+            ids, at = with_end(*words.encode(*utf8(b.column(1))), end)
+            offsets = pa.array((2 * at).astype(np.int32))
+            yield batch_of(ENCODED, b.column(0), pa.Array.from_buffers(pa.binary(), b.num_rows, [None, offsets.buffers()[1], pa.py_buffer(ids)]))
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 

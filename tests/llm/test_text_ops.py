@@ -133,10 +133,18 @@ def library_ids(t):
     return tokenizers.Tokenizer.from_file(WORD).encode(t or "", add_special_tokens=False).ids
 
 
+HARD = ["\u00c0\u00c9\u00d7. \u00d7, \u00f7! \u0130. \u0149; \u017f? \u00ca\u0301. X\u00c3\u00d0\u00deY", "a\r\nb\x0bc\x0cd\u00a0e\u2003f", "A.B,C.. d;:!?e f?!. g... ...", "x\u2026. \u00bd, 5. 5th 1,000.5", "E\u0301. I\u0307, \u1e9e.", "<|STARTOFTEXT|> <|startoftext|>", "a" * 17 + " " + "a" * 16 + "b " + "a" * 17 + "c, " + "a" * 17, " .", ". ", "l'\u00e9t\u00e9, d\u00e9j\u00e0. \u00fc.", "'s 't. X's, y'll; z'RE!"]
+
+
 def test_words_encode_like_the_library():
-    w = tokens.WordIds(WORD)
-    for t in TEXTS:
-        assert np.frombuffer(w.text(t), "<u2").tolist() == library_ids(t)
+    w = tokens.WordIds(WORD, 50)
+    texts = [*TEXTS, *HARD]
+    for _ in range(2):
+        for group in (texts, *[[t] for t in texts]):
+            raw = [(t or "").encode() for t in group]
+            ids, at = w.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+            for i, t in enumerate(group):
+                assert ids[at[i] : at[i + 1]].tolist() == library_ids(t), t
 
 
 def test_token_files_round_trip(spark, tmp_path):
