@@ -524,7 +524,7 @@ def submission_tables(spark, d):
     return t.drop("value", "event_id"), preds
 
 
-@query("SELECT 's' || event_id AS submission_id, ['state', 'queue', 'odme'][event_id % 3 + 1] AS task, CASE WHEN event_id % 3 = 0 THEN value ELSE 0 END AS speed_kmh, CASE WHEN event_id % 3 = 0 THEN value * 2 ELSE 0 END AS flow_vph, CASE WHEN event_id % 3 = 1 AND value < 50 THEN 1.0 ELSE 0.0 END AS queue_pred, CASE WHEN event_id % 3 = 2 THEN value - 1 ELSE 0 END AS path_flow FROM events")
+@query("SELECT 's' || event_id AS submission_id, ['state', 'queue', 'odme'][event_id % 3 + 1] AS task, CASE WHEN event_id % 3 = 0 THEN value ELSE 0 END AS speed_kmh, CASE WHEN event_id % 3 = 0 THEN value * 2 ELSE 0 END AS flow_vph, CASE WHEN event_id % 3 = 1 AND value < 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS queue_pred, CASE WHEN event_id % 3 = 2 THEN value - 1 ELSE 0 END AS path_flow FROM events")
 def assemble_submission(spark, d):
     return submit.assemble(*submission_tables(spark, d))
 
@@ -546,7 +546,7 @@ def finite_check(spark, d):
     return read(spark, d, "events").select("event_id", is_finite(v).alias("finite"))
 
 
-@query("SELECT event_id, CASE WHEN value - 100 < 0 THEN 0.0 ELSE round(value - 100, 6) END AS value FROM events")
+@query("SELECT event_id, CASE WHEN value - 100 < 0 THEN 0.0::DOUBLE ELSE round(value - 100, 6) END AS value FROM events")
 def clip_lower(spark, d):
     from gridflow.functions import not_negative
 
