@@ -309,4 +309,5 @@ def one_of_each(docs: DataFrame, percent: int = 80, size: int = 5, text_col: str
     d = with_components(docs, percent, size, text_col, id_col)
     keep = d.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("row").alias("__row"), "n_shingles").distinct()
     kept = docs.withColumn("__row", F.xxhash64(id_col, text_col)).join(keep.select("__row"), "__row", "left_semi")
-    return kept.drop("__row").dropDuplicates([id_col, text_col])
+    # by the key of the join just made, which needs no shuffle of its own
+    return kept.dropDuplicates(["__row"]).drop("__row")
