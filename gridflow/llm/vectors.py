@@ -259,11 +259,11 @@ def choose_pivots(rows: DataFrame, pivots: int, sample: int) -> np.ndarray:
     return x[chosen]
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 128, nearest_pivots: int = 64, rerank: float = 0.06, sample: int = 4096, vec_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 128, nearest_pivots: int = 64, rerank: float = 0.06, least: int = 512, sample: int = 4096, vec_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k rows of largest cosine among those found by a permutation index.
 
     Pivots come from a sample of at most ``sample`` rows; every row is indexed.
-    In each block the share ``rerank`` of rows of least footrule (50 at least)
+    In each block the share ``rerank`` of rows of least footrule (``least`` at least)
     gets its exact cosine in double precision. Rows without an id or with a
     vector that is null, zero or holds null or non-finite components take no
     part; shorter vectors count as padded with zeros. Repeated ids as in ``top_k``.
@@ -285,7 +285,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 128,
         p[:, : chosen.shape[1]] = chosen[:, : u.shape[1]]
         index = Permutations(u, p, nearest_pivots)
         orders = index.order(v)
-        most = min(len(ids), max(50, int(np.ceil(rerank * len(ids)))))
+        most = min(len(ids), max(least, int(np.ceil(rerank * len(ids)))))
         for i, query in enumerate(qids.tolist()):
             far = index.footrule(orders[i])
             far[ids == query] = np.iinfo(np.int32).max
