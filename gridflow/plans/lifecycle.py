@@ -235,8 +235,8 @@ def experiment(spark: SparkSession, path: str, task: str, solution: str = "basel
     return run
 
 
-def predict_release(spark: SparkSession, release_path: str, start, end, history_start, history_end, panels: Sequence[str] | None = None, solution: str = "baseline", params: dict | None = None, tasks: Sequence[str] = ("state", "queue", "odme")) -> dict[str, DataFrame]:
-    """Predictions of a release's own templates in [start, end), by task, checked against them when acted on by the caller."""
+def predict_release(spark: SparkSession, release_path: str, start, end, history_start, history_end, panels: Sequence[str] | None = None, solution: str = "baseline", params: dict | None = None, tasks: Sequence[str] = ("state", "queue", "odme"), answers: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Predictions of a release's own templates in [start, end), by task; where ``answers`` has a task, of its rows alone."""
     release = rel_io.Release(spark, release_path)
     panels = list(panels or release.families)
     s = rel_io.load_slice(release, panels, history_start, history_end, start, end)
@@ -245,12 +245,33 @@ def predict_release(spark: SparkSession, release_path: str, start, end, history_
     out = {}
     for task in tasks:
         if task in targets:
+            if answers and task in answers:
+                targets[task] = answer_targets(answers[task], targets[task], task)
             safe = rel_io.redact(s, task, targets[task])
             tables = predict.ReleaseTables(safe.states, safe.network["links"], safe.queue_history, safe.prior, safe.counts, safe.network["path_link_incidence"], safe.state_labels)
             out[task] = solve(task, tables, targets[task], params or {})
     return out
 
 
+def answer_targets(answers: DataFrame, templates: DataFrame, task: str) -> DataFrame:
+    """The template rows that answers ask for; every answer must match one panel and split, and queue windows must be whole.
+
+    The checks are one small aggregate each, run here.
+    """
+    keys = KEYS[task]
+    found = validate.partition_answers(answers, templates, keys)
+    wrong = found.where("matches <> 1").count()
+    if wrong:
+        raise validate.ContractError(f"{wrong} answers match no template row or several")
+    rows = found.select(*keys, *[c for c in ("panel", "split") if c not in keys])
+    if task == "queue":
+        need = templates.join(rows.select("window_id").distinct(), "window_id", "left_semi")
+        short = need.join(rows, keys, "left_anti").count()
+        if short:
+            raise validate.ContractError(f"{short} rows of answered queue windows have no answer")
+    return rows.withColumns({v: F.lit(0).cast(dict(templates.dtypes)[v]) for v in VALUES[task]})
+
+
 def summary(spark: SparkSession, runs: str) -> DataFrame:
     """A row for each run record below a folder; records may lack fields."""
     d = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "run.json").json(runs)

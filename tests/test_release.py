@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridflow import cli
 from gridflow.operators import predict, validate
-from gridflow.plans import lifecycle
+from gridflow.plans import lifecycle, shards
 from gridflow.sources import fixture, release
 from gridflow.sources.schemas import KEYS, SCHEMAS
 
@@ -162,3 +162,28 @@ def test_command_line(spark, folder, tmp_path):
         cli.main(["new", "Not-a-name"])
     cli.main(["predict", folder, str(tmp_path / "p"), "--history-start", "2030-11-03", "--history-end", "2030-11-10", "--start", "2030-11-10", "--end", "2030-11-12"])
     assert spark.read.parquet(str(tmp_path / "p/state")).count() > 0
+
+
+def test_shards_run_and_combine_to_the_same_scores(spark, benchmark, tmp_path):
+    out, m = benchmark
+    whole = lifecycle.experiment(spark, out, "state")
+    folders = shards.package(spark, out, str(tmp_path / "s"))
+    assert len(folders) == 1 and lifecycle.verify_benchmark(spark, folders[0])["panels"] == m["panels"] and fixture.PANEL in shards.matrix(spark, folders, "state")
+    run = lifecycle.experiment(spark, folders[0], "state")
+    got = lifecycle.combine(spark, [f"{folders[0]}/runs/{run.run_id}"], m["panels"])
+    assert got == pytest.approx(whole.scores)
+    with pytest.raises(ValueError):
+        lifecycle.combine(spark, [f"{folders[0]}/runs/{run.run_id}"], [*m["panels"], "other"])
+    spark.read.parquet(f"{folders[0]}/ramps").limit(3).write.parquet(str(tmp_path / "r"))
+    spark.read.parquet(str(tmp_path / "r")).write.mode("overwrite").parquet(f"{folders[0]}/ramps")
+    with pytest.raises(ValueError, match="ramps"):
+        lifecycle.verify_benchmark(spark, folders[0])
+
+
+def test_answers_narrow_the_targets(spark, folder):
+    t = release.load_targets(release.Release(spark, folder), [fixture.PANEL], *DATES[2:])["state"]
+    some = t.select(*KEYS["state"]).orderBy("timestamp", "link_id").limit(5)
+    got = lifecycle.predict_release(spark, folder, *DATES[2:], *DATES[:2], tasks=["state"], answers={"state": some})["state"]
+    assert got.count() == 5
+    with pytest.raises(validate.ContractError, match="match no"):
+        lifecycle.answer_targets(some.withColumn("link_id", F.lit("zz")), t, "state")
