@@ -147,6 +147,8 @@ def pack_pieces(items: DataFrame, capacity: int, most: int = 400_000, rounds: in
     """
     spark = items.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # full pieces and the others are read apart; making them once costs a few bytes a document
+    items = checkpoint(items)
     key = F.xxhash64("doc_key", "piece")
     full = items.where(F.col("length") >= capacity)
     # a piece that fills its sequence needs no packing; its number comes from its key, in a range of its own
