@@ -99,21 +99,25 @@ def dictionary(samples: list[bytes], size: int) -> bytes:
 def contrast(texts: list[str], toxic: np.ndarray, least: int = 2) -> list[tuple[str, int]]:
     """(word, weight) of words that toxic texts use more than ordinary ones, heaviest first.
 
-    A word counts once for each different word before it, so that copies of
-    one document don't lift its rare words.
+    A word counts by its texts or by the different words before it, whichever
+    are fewer: neither copies of one document nor one long document lift their
+    rare words.
     """
-    tox: dict[str, set[str]] = defaultdict(set)
+    before: dict[str, set[str]] = defaultdict(set)
+    count: Counter[str] = Counter()
     ordinary: Counter[str] = Counter()
     for t, y in zip(texts, toxic, strict=True):
         words = [w.strip(STRIP).lower() for w in t.split()]
         if y:
-            for before, w in zip(["", *words], words, strict=False):
-                if len(tox[w]) < 1000:
-                    tox[w].add(before)
+            count.update(set(words))
+            for b, w in zip(["", *words], words, strict=False):
+                if len(before[w]) < 1000:
+                    before[w].add(b)
         else:
             ordinary.update(set(words))
     ratio = max(1.0, (len(toxic) - toxic.sum()) / max(1, toxic.sum()))
-    out = [(w, len(s)) for w, s in tox.items() if len(s) >= least and len(w) >= 2 and ordinary[w] <= 0.02 * len(s) * ratio]
+    weight = {w: min(n, len(before[w])) for w, n in count.items()}
+    out = [(w, n) for w, n in weight.items() if n >= least and len(w) >= 2 and ordinary[w] <= 0.02 * n * ratio]
     return sorted(out, key=lambda x: (-x[1], x[0]))
 
 
@@ -143,7 +147,7 @@ def train(texts: list[str], toxic: list[int], toxic_size: int = 65_536, ordinary
         for v in (0, 1):
             fold[np.flatnonzero(y == v)[2::3]] = True
     fit = [t for t, k in zip(texts, fold, strict=True) if not k]
-    words = contrast(fit, y[~fold], max(1, min(3, int((y[~fold] == 1).sum()) // 60), int((y[~fold] == 1).sum()) // 200))
+    words = contrast(fit, y[~fold], max(1, min(3, int((y[~fold] == 1).sum()) // 5), int((y[~fold] == 1).sum()) // 100))
     # the heaviest words come last in raw content and often in the samples: near matches cost fewer bits
     samples = [f" {w} ".encode() for w, n in words for _ in range(min(n, 20))]
     listed = b"".join(LEAD + f" {w} ".encode() + TAIL for w, _ in reversed(words[:4000]))[-toxic_size:]
@@ -191,16 +195,17 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", name: s
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, where, most: int, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic") -> tuple[list[str], list[int]]:
-    """At most ``most`` labelled texts, half of each label where there are enough, those of smallest hash."""
-    from pyspark.sql import Window
+    """At most ``most`` labelled texts, half of each label where there are enough, those of smallest hash.
 
-    known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null").groupBy("id").agg(F.max("y").alias("y"))
-    sizes = known.groupBy("y").count().withColumnRenamed("count", "n")
+    ``where`` is over the id column. Ids are chosen from the labels alone, so
+    that the texts are found by a broadcast of ``most`` ids at the most.
+    """
+    known = labels.where(where & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
+    known = known.withColumn("__h", F.xxhash64(F.lit(5), "__id"))
     share = max(1, most // 2)
-    h = F.xxhash64(F.lit(5), "id")
-    near = known.join(F.broadcast(sizes), "y").withColumn("h", h).where((F.col("h") / 2.0**64 + 0.5) * F.col("n") <= 3.0 * share)
-    text = docs.where(where & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    top = text.join(near, "id").withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "id"))).where(F.col("r") <= share)
-    rows = top.select("text", "y", "h").collect()
-    rows.sort(key=lambda r: (r["h"], r["text"]))
-    return [r["text"] for r in rows], [r["y"] for r in rows]
+    top = [known.where(F.col("__y") == v).orderBy("__h", "__id").limit(share) for v in (0, 1)]
+    chosen = F.broadcast(top[0].unionByName(top[1]))
+    text = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    rows = text.join(chosen, "__id").dropDuplicates(["__id"]).collect()
+    rows.sort(key=lambda r: (r["__h"], r["__text"]))
+    return [r["__text"] for r in rows], [r["__y"] for r in rows]

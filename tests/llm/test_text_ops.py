@@ -241,3 +241,13 @@ def test_toxicity_finds_listed_words(spark):
     right = sum((got[i] >= 0.7) == bool(y[240 + i]) for i in range(60))
     assert right >= 57 and all(0 <= s <= 1 for s in got.values()) and got[60] < 0.5 and got[61] == got[60]
     assert all(0 <= r["score"] <= 1 for r in toxicity.score(d, toxicity.train([], [])).collect())
+
+
+def test_toxic_sample_is_bounded_and_balanced(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, None if i == 3 else f"t{i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(150)] + [(None, 1), (7, None)], "doc_id long, toxic int")
+    texts, y = toxicity.fit_sample(docs, labels, langid.crc_mod("doc_id", 3) != 1, 40)
+    assert len(texts) <= 40 and abs(sum(y) - 20) <= 1 and all(zlib.crc32(t[1:].encode()) % 3 != 1 and int(t[1:]) % 2 == v for t, v in zip(texts, y))
+    assert toxicity.fit_sample(docs, labels.where(F.lit(False)), F.lit(True), 40) == ([], [])
