@@ -16,6 +16,7 @@ from .common import checkpoint, batch_of, slices, utf8
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bits of a filter for each byte of text, and the bounds of a filter's size in bits.
 BITS_A_BYTE, LEAST_BITS, MOST_BITS = 0.1, 1 << 16, 1 << 27
+SALTS = 64
 CHUNK = 1 << 18  # bytes of a filter that travel as one row
 
 
@@ -153,7 +154,9 @@ def repeated_lines(docs: DataFrame, least_docs: int, least_chars: int) -> DataFr
     seen = checkpoint(docs.select("row", "id", "text").mapInArrow(suspects, "k1 long, k2 long, row long, id long"))
     # partial counts first: a line of every document is one row for each task
     found = seen.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("id").alias("last")).where(F.col("n") >= least_docs)
-    gone = seen.join(found.select("k1", "k2", "last"), ["k1", "k2"]).where(~F.col("id").eqNullSafe(F.col("last")) & F.col("last").isNotNull())
+    # each line goes to SALTS tasks, which a line of very many documents needs
+    salted = seen.withColumn("salt", F.pmod("row", F.lit(SALTS)))
+    gone = salted.join(found.select("k1", "k2", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")), ["k1", "k2", "salt"]).where(~F.col("id").eqNullSafe(F.col("last")) & F.col("last").isNotNull())
     return gone.select("row", F.struct("k1", "k2").alias("k")).groupBy("row").agg(F.collect_set("k").alias("drop"))
 
 
