@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -54,7 +55,11 @@ def remove(spark: SparkSession, path: str) -> None:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder; Spark's cleaner removes the files with the last reference."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # what was shuffled to make it isn't needed any more; without this its files stay until the driver happens to collect garbage
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return out
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -80,6 +85,8 @@ def slices(batches: Iterable[pa.RecordBatch], name: str, most: int = 1 << 20) ->
             j = max(i + 1, int(np.searchsorted(o, o[i] + most, "right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+        # a worker that waits for its next task shouldn't hold what this one's batches took
+        pa.default_memory_pool().release_unused()
 
 
 @functools.lru_cache(4)
