@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import json
 import os
 import unicodedata
@@ -19,8 +18,8 @@ from .common import batch_of, mix, remove, shared_path, slices, utf8
 #: ASCII marks that make a token of their own after a letter or digit.
 MARKS = b".,;:!?"
 #: Words kept in each worker's memory; the memory is emptied when full.
-MEMORY = 700_000
-SLICE = 1 << 22
+MEMORY = 400_000
+SLICE = 1 << 21
 
 
 class WordIds:
