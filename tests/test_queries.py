@@ -49,3 +49,9 @@ def test_entry_has_rows(spark):
 def test_queries_without_sql_have_rows(spark, name):
     d = entry.queries()[name](spark, SF)
     assert d.columns and d.count() > 0
+
+
+def test_every_order_gets_a_flow(spark):
+    got = [r.path_id for r in entry.queries()["bounded_least_squares"](spark, SF).collect()]
+    want = [r.o_orderkey for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect()]
+    assert sorted(got) == sorted(want)
