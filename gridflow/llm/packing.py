@@ -151,8 +151,8 @@ def pack_pieces(items: DataFrame, capacity: int, most: int = 400_000, rounds: in
     items = checkpoint(items)
     key = F.xxhash64("doc_key", "piece")
     full = items.where(F.col("length") >= capacity)
-    # a piece that fills its sequence needs no packing; its number comes from its key, in a range of its own
-    done = [full.select(*PIECES.names, F.xxhash64("doc_key", "piece", F.lit(7)).bitwiseOR(F.lit(-(2**63))).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    # a piece that fills its sequence needs no packing; its number is that of its checkpointed row, as repeated rows share a key, in a range of its own
+    done = [full.select(*PIECES.names, F.monotonically_increasing_id().bitwiseOR(F.lit(-(2**63))).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     rest, base = items.where(F.col("length") < capacity), 0
     for k in range(rounds + 1):
         parts = max(1, width >> (3 * k))

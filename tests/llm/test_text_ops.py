@@ -212,6 +212,18 @@ def test_packing_covers_every_document(spark):
     assert packing.pack_pieces(packing.pieces(docs.where("false"), WORD, 64, 0), 64).count() == 0
 
 
+def test_repeated_long_rows_fill_sequences_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "word " * 300)] * 5 + [(2, None)] * 3, "doc_id long, text string").repartition(3)
+    rows = packing.pack_pieces(packing.pieces(docs, WORD, 64, 0), 64).collect()
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sum(r["length"] == 64 for r in rows) >= 20
+    for b in bins.values():
+        b.sort()
+        assert [o for o, _ in b] == np.cumsum([0, *(n for _, n in b)])[:-1].tolist() and sum(n for _, n in b) <= 64
+
+
 def test_language_model_learns_and_rejects(spark):
     words = {"aa": "foo bar baz qux", "bb": "zim zam zoom zut"}
     r = random.Random(1)
