@@ -96,8 +96,8 @@ def lower_bound(histogram: np.ndarray, capacity: int) -> int:
     return best
 
 
-PACKED = pa.schema([("doc_id", pa.int64()), ("doc_key", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("bin_length", pa.int64()), ("bins", pa.int64()), ("bound", pa.int64())])
-_DDL = "doc_id long, doc_key long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, bin_length long, bins long, bound long"
+PACKED = pa.schema([("doc_id", pa.int64()), ("doc_key", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("stays", pa.bool_())])
+_DDL = "doc_id long, doc_key long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, stays boolean"
 
 
 def _pack_partition(capacity: int, most: int, base: int):
@@ -115,9 +115,12 @@ def _pack_partition(capacity: int, most: int, base: int):
             bins, offsets = np.empty_like(b), np.empty_like(o)
             bins[by], offsets[by] = b, o
             filled = np.bincount(bins, size).astype(np.int64)
-            bound = lower_bound(np.bincount(size, minlength=capacity + 1), capacity)
+            if len(filled) <= lower_bound(np.bincount(size, minlength=capacity + 1), capacity):
+                stays = np.arange(len(filled)) != filled.argmin()  # no packing of the block needs fewer; its emptiest bin may still meet others'
+            else:
+                stays = filled >= capacity
             cols = [t.column(i).combine_chunks() if t.column(i).num_chunks != 1 else t.column(i).chunk(0) for i in range(6)]
-            return batch_of(PACKED, *cols, first + at + bins, offsets, filled[bins], np.full(len(size), len(filled)), np.full(len(size), bound)), at + len(filled)
+            return batch_of(PACKED, *cols, first + at + bins, offsets, stays[bins]), at + len(filled)
 
         held, rows, at = [], 0, 0
         for batch in batches:
@@ -139,11 +142,11 @@ def pack_pieces(items: DataFrame, capacity: int, most: int = 400_000, rounds: in
     """Pack pieces into bins of ``capacity``: the columns of ``pieces`` with sequence_id, offset.
 
     Pieces spread over partitions by a hash. Each partition packs blocks of up
-    to ``most`` pieces by best-fit decreasing and certifies its bin count by
-    ``lower_bound``. The bins that aren't full, of blocks whose count exceeds
-    the bound or that end with badly filled bins, give their documents up;
-    these meet in fewer partitions and are packed again, ``rounds`` times.
-    Nothing is ever gathered on the driver.
+    to ``most`` pieces by best-fit decreasing and compares its bin count with
+    ``lower_bound``. A block that meets its bound keeps all bins but its
+    emptiest; one with a gap keeps its full bins. The pieces of the other bins
+    meet in fewer partitions and are packed again, ``rounds`` times; what the
+    last round makes is final. Nothing is ever gathered on the driver.
     """
     spark = items.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -161,10 +164,8 @@ def pack_pieces(items: DataFrame, capacity: int, most: int = 400_000, rounds: in
             done.append(packed.select(*PIECES.names, "sequence_id", "offset"))
             break
         packed = checkpoint(packed)
-        # what stays: bins of blocks that meet their bound, and well filled ones
-        stays = ((F.col("bins") <= F.col("bound")) & F.lit(parts <= 1)) | (F.col("bin_length") >= capacity - capacity // 64)
-        done.append(packed.where(stays).select(*PIECES.names, "sequence_id", "offset"))
-        rest, base = packed.where(~stays).select(*PIECES.names), base + (1 << 60)
+        done.append(packed.where("stays").select(*PIECES.names, "sequence_id", "offset"))
+        rest, base = packed.where("not stays").select(*PIECES.names), base + (1 << 60)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -224,6 +224,14 @@ def test_repeated_long_rows_fill_sequences_of_their_own(spark):
         assert [o for o, _ in b] == np.cumsum([0, *(n for _, n in b)])[:-1].tolist() and sum(n for _, n in b) <= 64
 
 
+def test_blocks_that_meet_their_bound_keep_their_bins(spark):
+    items = spark.range(400).selectExpr("id as doc_id", "id as doc_key", "0 as piece", "0L as start", "6L as length", "0L as ids_crc32")
+    rows = packing.pack_pieces(items, 10).collect()
+    assert len({r["sequence_id"] for r in rows}) == 400
+    # a round's numbers begin at its multiple of 2^60; one bin of each of the 4 blocks may meet others'
+    assert sum(r["sequence_id"] < 1 << 60 for r in rows) >= 396
+
+
 def test_language_model_learns_and_rejects(spark):
     words = {"aa": "foo bar baz qux", "bb": "zim zam zoom zut"}
     r = random.Random(1)
