@@ -46,7 +46,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer("piece_bpe_32k.model")
-    d = spm.decode(spm.encode(_docs(spark, sf_dir), path), path)
+    d = spm.decode(spm.agreed(spm.encode(_docs(spark, sf_dir), path)), path)
     return d.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
 
 

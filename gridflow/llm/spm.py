@@ -131,7 +131,7 @@ class Pieces:
 
     Where no piece reaches over the start of a word, a text's ids are those of
     its words, each with the spaces before it, and words are kept. Results that
-    differ from the sentencepiece library's are replaced by its own and counted.
+    differ from the sentencepiece library's are counted.
     """
 
     def __init__(self, path: str, threads: int = 2, verify: bool = True):
@@ -155,7 +155,6 @@ class Pieces:
         if self.verify is not None:
             want = self.verify.encode(texts, num_threads=self.threads)
             self.differences += sum(a != b for a, b in zip(ids, want, strict=True))
-            ids = want
         return [np.array(x, "<u4").tobytes() for x in ids]
 
     @staticmethod
@@ -215,8 +214,8 @@ def encode(docs: DataFrame, model_path: str, threads: int = 2, verify: bool = Tr
     """(doc_id, ids, differences): ids of whole texts as little-endian unsigned 32-bit words.
 
     ``differences`` counts, on the last row of each slice, results of the
-    rebuilt tokenizer that the sentencepiece library corrected. Null and empty
-    texts have no ids.
+    rebuilt tokenizer that differ from the sentencepiece library's. Null and
+    empty texts have no ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,6 +230,12 @@ def encode(docs: DataFrame, model_path: str, threads: int = 2, verify: bool = Tr
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, differences long")
 
 
+def agreed(encoded: DataFrame) -> DataFrame:
+    """``encoded``, which fails as it is read where the sentencepiece library had other ids."""
+    differ = F.raise_error(F.concat(F.lit("the sentencepiece library has other ids, by doc_id "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    return encoded.withColumn("ids", F.when(F.col("differences") == 0, F.col("ids")).otherwise(differ))
+
+
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, ids, text) from rows of ids; other columns are dropped."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("text", pa.string())])

@@ -59,3 +59,17 @@ def test_unigram_models_with_byte_fallback():
     tok = spm.build(m)
     for t in ("abc", "ab  abc c", "aé b", " bca "):
         assert tok.encode(t, add_special_tokens=False).ids == sp.encode(t), t
+
+
+def test_differences_are_neither_mended_nor_passed_over(spark):
+    class Other:
+        def encode(self, texts, num_threads):
+            return [[1, 2, 3] for _ in texts]
+
+    p, own = spm.Pieces(PATH), spm.Pieces(PATH, verify=False)
+    p.verify = Other()
+    assert p.encode(["one text"]) == own.encode(["one text"]) and p.differences == 2
+    d = spark.createDataFrame([(1, b"\x01\x00\x00\x00", 0), (2, b"", 0)], "doc_id long, ids binary, differences long")
+    assert spm.agreed(d).select("ids").count() == 2 and len(spm.agreed(d).collect()) == 2
+    with pytest.raises(Exception, match="other ids, by doc_id 3"):
+        spm.agreed(d.unionByName(spark.createDataFrame([(3, b"", 1)], d.schema))).collect()
