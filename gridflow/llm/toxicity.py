@@ -150,9 +150,10 @@ def train(texts: list[str], toxic: list[int], toxic_size: int = 65_536, ordinary
     words = contrast(fit, y[~fold], max(1, min(3, int((y[~fold] == 1).sum()) // 5), int((y[~fold] == 1).sum()) // 100))
     # the heaviest words come last in raw content and often in the samples: near matches cost fewer bits
     samples = [f" {w} ".encode() for w, n in words for _ in range(min(n, 20))]
-    listed = b"".join(LEAD + f" {w} ".encode() + TAIL for w, _ in reversed(words[:4000]))[-toxic_size:]
+    listed = b"".join(LEAD + f" {w} ".encode() + TAIL for w, _ in reversed(words))[-toxic_size:]
     tox = dictionary(samples, toxic_size // 4) + listed + LEAD + b"  " + TAIL
-    plain = [b for t, k in zip(fit, y[~fold], strict=True) if not k for b in (t.lower().encode()[i : i + 512] for i in range(0, min(len(t), 4096), 512))]
+    whole = [t.lower().encode("utf-8", "replace") for t, k in zip(fit, y[~fold], strict=True) if not k]
+    plain = [b[i : i + 512] for b in whole for i in range(0, len(b), 512)]
     ordinary = dictionary(plain, ordinary_size) + LEAD + b"  " + TAIL
     memory = Lengths(tox, ordinary)
     rows = np.flatnonzero(fold) if fold.any() else np.arange(len(y))

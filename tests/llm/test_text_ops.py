@@ -246,6 +246,14 @@ def test_language_model_learns_and_rejects(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, langid.train([], [])).collect()} == {"und"}
 
 
+def test_whole_ordinary_texts_enter_the_dictionary(monkeypatch):
+    seen, make = [], toxicity.dictionary
+    monkeypatch.setattr(toxicity, "dictionary", lambda samples, size: seen.append(b"".join(samples)) or make(samples, size))
+    texts = [*(["fine words " * 900 + "the end", "\u00e9\u4e2d" * 400 + " tail"] * 5), *["bad blargh snorf"] * 10]
+    toxicity.train(texts, [0] * 10 + [1] * 10)
+    assert seen[1] == "".join(texts[:10]).encode()
+
+
 def test_toxicity_finds_listed_words(spark):
     texts, y = [], []
     for i in range(300):
