@@ -77,3 +77,19 @@ def test_footrule_of_inverted_files():
     full = np.abs(place - place[0]).sum(1)
     part = index.footrule(order[0])
     assert (full - part == full[0] - part[0]).all()
+
+
+def test_nearest_recall_of_a_full_block_at_its_share(spark):
+    """A block of 16,384 rows: the share of 6 % (984 rows) decides, not the floor of 512."""
+    r = np.random.default_rng(23)
+    x = r.normal(size=(200, 64))[r.integers(0, 200, 16_384)] + 0.7 * r.normal(size=(16_384, 64))
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    rows = vectors.nearest(d, F.col("id") % 400 == 0, 5).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, len(u), 400):
+        score = u @ u[q]
+        score[q] = -2
+        hits += len({int(i) for i in np.argsort(-score)[:5]} & {m["vec_id"] for m in rows if m["query_id"] == q})
+    recall = hits / (5 * len(range(0, len(u), 400)))
+    assert recall >= 0.9
