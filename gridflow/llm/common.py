@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import functools
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -12,7 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -23,13 +22,20 @@ LETTER = np.random.default_rng(20240607).integers(0, 2**63, 256, dtype=np.uint64
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The cluster's shared folder from ``spark.checkpoint.dir``.
+
+    A folder of this machine only where that is unset and all tasks run in this
+    machine's own process (tests); elsewhere executors wouldn't share it, so
+    that an unset folder raises.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not path:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="gridflow-")
         sc.setCheckpointDir(path)
     elif not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -52,14 +58,52 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder; Spark's cleaner removes the files with the last reference."""
-    ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    # what was shuffled to make it isn't needed any more; without this its files stay until the driver happens to collect garbage
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-    return out
+#: Lets Spark remove the shuffle files of an action when that ends; set only while a table is written, whose readers need none of them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` as Parquet and read again; what was shuffled for it is removed."""
+    spark = df.sparkSession
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Tables:
+    """Tables in the shared folder that one call of an operator writes to cut lineage, and removes as it is done with them."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.count = spark, shared_path(spark, name), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` written and read again: its size is known to the planner and executors may be lost."""
+        self.count += 1
+        path = f"{self.path}/{self.count}"
+        out = write(df, path)
+        out._written_at = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            remove(self.spark, t._written_at)
+
+
+def spare(names: Iterable[str], want: str) -> str:
+    """``want``, or it with underscores in front so that it meets none of ``names``, whatever their case."""
+    taken = {n.lower() for n in names}
+    while want.lower() in taken:
+        want = "_" + want
+    return want
+
+
+def identity(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """128 bits that stand for a row's id and text, as two longs; repeated rows share them."""
+    return F.xxhash64(id_col, text_col), F.xxhash64(F.lit(0x5DEECE66D), F.length(text_col), id_col, text_col)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -145,26 +189,29 @@ def runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[new], e[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(s) - 1]])]
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, tables: Tables, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of the nodes with an edge; the component is its smallest node.
 
     Alternating large-star and small-star rounds over the edge table, each
-    written to the shared folder: after each round every edge points to a
-    smaller node, and no node's neighbours are ever gathered in one row. It
-    ends when a round changes nothing. Null ends and loops are ignored.
+    written among ``tables``: after each round every edge points to a smaller
+    node, and no node's neighbours are ever gathered in one row. It ends when a
+    round changes nothing. Null ends and loops are ignored. Joins on a star's
+    hub come straight from a written table, so that adaptive execution can
+    split a hub of very many neighbours.
     """
     def state(d: DataFrame):
         return d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
-    e = checkpoint(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
+    e = tables.keep(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
     was = state(e)
-    while True:
+    while was[0]:
         both = e.union(e.select(F.col("v"), F.col("u"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        e = checkpoint(small)
+        before, e = e, tables.keep(small)
+        tables.drop(before)
         now = state(e)
         if was == now:
             break

@@ -9,13 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTER, U64, as_long, batch_of, checkpoint, components, mix, prefix_hashes, remove, shared_path, slices, span_hash, utf8
+from .common import LETTER, U64, Tables, as_long, batch_of, components, identity, mix, prefix_hashes, slices, spare, span_hash, utf8
 
 #: The counts that order n-grams by rarity: a fixed table of 2**SKETCH_BITS cells, whatever the input.
 SKETCH_BITS = 20
 SKETCH_CHUNK = 1 << 15
 #: Words of 64 bits of a set's parity bitmap: each n-gram flips one bit, so two sets differ in no fewer n-grams than bits.
 WORDS = 16
+#: How often the suffix filter halves two sets, and how many sets a task remembers whose prefixes it has already given.
+SUFFIX_DEPTH, REMEMBERED = 6, 1 << 20
+ROW = ["r1", "r2"]
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,35 +71,53 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
-SETS = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("bits", pa.list_(pa.int64())), ("chunk", pa.int32()), ("counts", pa.binary())])
-_SETS = "row long, id long, n int, node long, bits array<long>, chunk int, counts binary"
+SETS = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("more", pa.int64()), ("bits", pa.list_(pa.int64())), ("chunk", pa.int32()), ("counts", pa.binary())])
+_SETS = "r1 long, r2 long, id long, n int, node long, more long, bits array<long>, chunk int, counts binary"
+
+
+def set_hashes(h: np.ndarray, text: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, node, more): how many n-grams each text has and 128 bits of hash of their set; zeros without any."""
+    n = np.bincount(text, minlength=rows)
+    node, more = np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
+    if len(h):
+        at = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        t = text[at]
+        node[t] = mix(np.add.reduceat(mix(h), at) ^ mix(np.bitwise_xor.reduceat(mix(h ^ U64(0x2545F4914F6CDD1D)), at) + n[t].astype(np.uint64)))
+        more[t] = mix(np.add.reduceat(mix(h ^ U64(0x9FB21C651E98DF25)), at) ^ mix(np.bitwise_xor.reduceat(mix(h ^ U64(0xD6E8FEB86659FD93)), at)))
+    return n, node, more
+
+
+def renamed(node: np.ndarray, more: np.ndarray, clashes: dict[tuple[int, int], int]) -> np.ndarray:
+    """``node``, but for sets that share it with another one: those get a number of their own."""
+    if clashes:
+        node = node.copy()
+        for i, k in enumerate(zip(as_long(node).tolist(), as_long(more).tolist(), strict=True)):
+            if k in clashes:
+                node[i] = np.int64(clashes[k]).view(np.uint64)
+    return node
 
 
 def _describe(size: int):
-    """Each row's set size, a hash of its set, and its parity bitmap; at the end the partition's sketch."""
+    """Each row's set size, two hashes of its set, and its parity bitmap; at the end the partition's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in slices(batches, "text"):
-            data, o = utf8(b.column(2))
+            data, o = utf8(b.column(3))
             text, h = shingle_sets(data, o, size)
             np.add.at(sketch, (h >> U64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            n = np.bincount(text, minlength=b.num_rows)
-            node = np.zeros(b.num_rows, np.uint64)
-            if len(h):
-                at = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-                node[text[at]] = mix(np.add.reduceat(mix(h), at) ^ mix(np.bitwise_xor.reduceat(mix(h ^ U64(0x2545F4914F6CDD1D)), at) + n[text[at]].astype(np.uint64)))
+            n, node, more = set_hashes(h, text, b.num_rows)
             flips = np.bincount(text * (64 * WORDS) + (h & U64(64 * WORDS - 1)).astype(np.int64), minlength=b.num_rows * 64 * WORDS)
             words = np.packbits((flips & 1).astype(np.uint8), bitorder="little").view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, WORDS, dtype=np.int32)), pa.array(words))
-            yield batch_of(SETS, b.column(0), b.column(1), n.astype(np.int32), pa.array(as_long(node), mask=n == 0), lists, pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary()))
+            yield batch_of(SETS, b.column(0), b.column(1), b.column(2), n.astype(np.int32), pa.array(as_long(node), mask=n == 0), as_long(more), lists, pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary()))
         for k in range(0, len(sketch), SKETCH_CHUNK):
             part = sketch[k : k + SKETCH_CHUNK]
             if part.any():
                 none = [None]
-                yield batch_of(SETS, none, none, none, none, none, [k // SKETCH_CHUNK], [zstandard.ZstdCompressor(level=1).compress(part.astype("<i8").tobytes())])
+                yield batch_of(SETS, none, none, none, none, none, none, none, [k // SKETCH_CHUNK], [zstandard.ZstdCompressor(level=1).compress(part.astype("<i8").tobytes())])
 
     return run
 
@@ -132,23 +153,34 @@ def _sketch(info: DataFrame) -> np.ndarray:
 TOKEN = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
 
-def _prefixes(size: int, percent: int, sketch):
-    """(token, node, n, pos): the first n-grams of each set in the order of rarity."""
+def _prefixes(size: int, percent: int, sketch, clashes: dict[tuple[int, int], int]):
+    """(token, node, n, pos): the first n-grams of each set in the order of rarity, once for all copies that a task meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.frombuffer(sketch.value, "<u4")
+        given: set[int] = set()
         for b in slices(batches, "text"):
             data, o = utf8(b.column(0))
             text, h = shingle_sets(data, o, size)
             if not len(h):
                 continue
-            n = np.bincount(text, minlength=b.num_rows)
+            n, node, more = set_hashes(h, text, b.num_rows)
+            node = renamed(node, more, clashes)
+            first = np.zeros(b.num_rows, bool)
+            if len(given) > REMEMBERED:
+                given.clear()
+            for i, x in enumerate(node.tolist()):
+                if n[i] and x not in given:
+                    given.add(x)
+                    first[i] = True
+            own = first[text]
+            text, h = text[own], h[own]
+            if not len(h):
+                continue
             at = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-            node = np.zeros(b.num_rows, np.uint64)
-            node[text[at]] = mix(np.add.reduceat(mix(h), at) ^ mix(np.bitwise_xor.reduceat(mix(h ^ U64(0x2545F4914F6CDD1D)), at) + n[text[at]].astype(np.uint64)))
             rarity = count[(h >> U64(64 - SKETCH_BITS)).astype(np.int64)]
             order = np.lexsort((h, rarity, text))
-            pos = np.arange(len(h)) - np.repeat(at, n[n > 0])
+            pos = np.arange(len(h)) - np.repeat(at, n[text[at]])
             keep = pos < prefix_length(n, percent)[text]
             pick = order[keep]
             yield batch_of(TOKEN, as_long(h[pick]), as_long(node[text[keep]]), n[text[keep]].astype(np.int32), pos[keep].astype(np.int32))
@@ -198,12 +230,32 @@ def _can_link(n: str, m: str, p: str, q: str, percent: int):
 
 
 def _few_differences(x: str, y: str, n: str, m: str, percent: int):
-    """Suffix filter on whole sets: bits that differ in the parity bitmaps bound the overlap from above."""
+    """Bits that differ in the parity bitmaps of whole sets bound the overlap from above."""
     differ = sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, WORDS)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
     total = F.col(n) + F.col(m)
     return (100 + percent) * (total - differ) >= 2 * percent * total
 
 
+def suffix_difference(x: np.ndarray, y: np.ndarray, most: int, depth: int = SUFFIX_DEPTH) -> int:
+    """The suffix filter: a bound from below on how many elements are in only one of two sorted sets.
+
+    The middle element of the one splits both; what the halves differ in by
+    their sizes can't be shared. Halves are split again, ``depth`` times, until
+    the bound passes ``most``.
+    """
+    if not depth or not len(x) or not len(y):
+        return abs(len(x) - len(y))
+    m = len(x) >> 1
+    j = int(np.searchsorted(y, x[m]))
+    hit = j < len(y) and y[j] == x[m]
+    right = (x[m + 1 :], y[j + hit :])
+    out, rest = 1 - hit, abs(len(right[0]) - len(right[1]))
+    if out + rest + abs(m - j) > most:
+        return out + rest + abs(m - j)
+    out += suffix_difference(x[:m], y[:j], most - out - rest, depth - 1)
+    return out + rest if out + rest > most else out + suffix_difference(*right, most - out, depth - 1)
+
+
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -221,6 +273,11 @@ def _verify(size: int, percent: int):
                 if x != last:
                     last, kept = x, of(s)
                 other = of(t)
+                # sets that reach the share differ in so many elements at the most
+                total = len(kept) + len(other)
+                most = total - 2 * -(-total * percent // (100 + percent))
+                if suffix_difference(kept, other, most) > most:
+                    continue
                 both = len(np.intersect1d(kept, other, assume_unique=True))
                 if 100 * both >= percent * (len(kept) + len(other) - both):
                     a.append(x)
@@ -230,84 +287,95 @@ def _verify(size: int, percent: int):
     return run
 
 
-def similar(docs: DataFrame, percent: int = 80, size: int = 5, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def similar(docs: DataFrame, tables: Tables, percent: int = 80, size: int = 5, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(members, links) of the join of all pairs whose shingle sets have Jaccard similarity of ``percent`` or more.
 
-    members: (row, id, n, node) for each row, ``node`` standing for its set
-    (null if empty); rows of one node have the same set. links: (a, b) between
-    nodes, enough of them that nodes in one component are those which links of
-    all pairs would connect.
+    members: (r1, r2, id, n, node) for each row, ``node`` standing for its set
+    (null if empty); rows of one node have the same set, compared by 128 bits
+    of hash. links: (a, b) between nodes, enough of them that nodes in one
+    component are those which links of all pairs would connect.
 
     N-grams are ordered by a fixed-size table of counts, rare ones first. Two
     sets that reach the threshold share an n-gram of their prefixes. Each
     n-gram's nodes are first compared with one hub, which joins groups of near
     copies by as many pairs as members; then nodes of the n-gram that are still
     in different components are compared with each other. Lengths, places in
-    the prefix and parity bitmaps of the sets rule pairs out before each
-    remaining pair is verified once on its whole texts.
+    the prefix and parity bitmaps rule pairs out before the texts of each
+    remaining pair meet, once; the suffix filter then rules out more before
+    their sets are intersected.
     """
     spark: SparkSession = docs.sparkSession
-    base = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    info = checkpoint(base.mapInArrow(_describe(size), _SETS))
-    members = info.where("chunk is null").select("row", "id", "n", "node")
+    base = docs.select(*(x.alias(n) for x, n in zip(identity(id_col, text_col), ROW, strict=True)), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    info = tables.keep(base.mapInArrow(_describe(size), _SETS))
+    sets = info.where("node is not null")
+    # two sets of one node by chance: all but one get other numbers; among 10^10 sets some three are expected, so the list stays short
+    double = sets.groupBy("node").agg(F.min("more").alias("m0"), F.max("more").alias("m1")).where("m0 != m1")
+    clashes = {(r["node"], r["more"]): r["name"] for r in sets.join(double, "node").where("more != m0").select("node", "more", F.xxhash64("node", "more").alias("name")).distinct().collect()}
+    if clashes:
+        name = F.lit(None).cast("long")
+        for (node, more), new in clashes.items():
+            name = F.when((F.col("node") == node) & (F.col("more") == more), F.lit(new)).otherwise(name)
+        sets = sets.withColumn("node", F.coalesce(name, "node"))
+    members = info.where("chunk is null and node is null").select(*ROW, "id", "n", "node").unionByName(sets.select(*ROW, "id", "n", "node"))
     sketch = spark.sparkContext.broadcast(np.minimum(_sketch(info), 2**32 - 1).astype("<u4").tobytes())
-    path = shared_path(spark, "shared-tokens")
-    tokens = base.select("text").mapInArrow(_prefixes(size, percent, sketch), "token long, node long, n int, pos int")
-    tokens.repartition("token").sortWithinPartitions("token", "pos", "node").mapInArrow(_stars, "token long, node long, n int, pos int, hub long, hub_n int, hub_pos int").write.parquet(path)
-    shared = spark.read.parquet(path)
+    tokens = base.select("text").mapInArrow(_prefixes(size, percent, sketch, clashes), "token long, node long, n int, pos int")
+    shared = tables.keep(tokens.repartition("token").sortWithinPartitions("token", "pos", "node").mapInArrow(_stars, "token long, node long, n int, pos int, hub long, hub_n int, hub_pos int"))
 
-    attrs = info.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    texts_path = shared_path(spark, "candidate-texts")
-    wanted = shared.select("node").distinct().join(attrs, "node").select("node", "row", "n", "bits")
-    base.select("row", "text").join(wanted, "row").dropDuplicates(["node"]).select("node", "n", "bits", "text").write.option("compression", "zstd").parquet(texts_path)
-    texts = spark.read.parquet(texts_path)
+    wanted = tables.keep(shared.select("node").distinct().join(sets.groupBy("node").agg(*(F.first(x).alias(x) for x in ("r1", "r2", "n")), F.first("bits").alias("bits")), "node"))
+    texts = tables.keep(base.select(*ROW, "text").join(wanted, ROW).dropDuplicates(["node"]).select("node", "n", "bits", "text"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("pa"))
         right = texts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("pb"))
         fit = pairs.join(left, "a").join(right, "b").where(_few_differences("pa", "pb", "na", "nb", percent)).select("a", "b")
         full = fit.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        return checkpoint(full.select("a", "b", "ta", "tb").mapInArrow(_verify(size, percent), "a long, b long"))
+        return tables.keep(full.select("a", "b", "ta", "tb").mapInArrow(_verify(size, percent), "a long, b long"))
 
-    star = shared.where((F.col("node") != F.col("hub")) & _can_link("n", "hub_n", "pos", "hub_pos", percent)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    star = checkpoint(star)
-    links = verify(star)
-    known = components(links)
+    star = tables.keep(shared.where((F.col("node") != F.col("hub")) & _can_link("n", "hub_n", "pos", "hub_pos", percent)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    first = verify(star)
+    known = components(first, tables)
     at = shared.select("token", "node", "n", "pos").join(known, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     open_ = at.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("token")
-    at = checkpoint(at.join(open_, "token").join(texts.select("node", "bits"), "node"))
+    at = tables.keep(at.join(open_, "token").join(wanted.select("node", "bits"), "node"))
+    tables.drop(shared, wanted)
     other = at.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("c").alias("d"), F.col("bits").alias("bits_b"))
     pairs = at.withColumnRenamed("node", "a").join(other, "token").where((F.col("c") < F.col("d")) & _can_link("n", "m", "pos", "q", percent) & _few_differences("bits", "bits_b", "n", "m", percent))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = links.union(verify(pairs))
-    remove(spark, path)
-    remove(spark, texts_path)
+    links = first.union(verify(pairs))
+    tables.drop(texts, at, star)
     return members, links
 
 
 def with_components(docs: DataFrame, percent: int = 80, size: int = 5, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(row, doc_id, n_shingles, component_id) for each row of ``docs``.
+    """(r1, r2, doc_id, n_shingles, component_id) for each row of ``docs``.
 
-    ``row`` is the hash of id and text. component_id is the smallest id
-    reachable by links, the row's own included; null ids are passed over, so it
-    is null only where all ids of a component are. Null, empty and blank texts
-    have no shingle and no link. Repeated rows have the same set, so they link.
+    r1 and r2 are 128 bits of hash of id and text. component_id is the smallest
+    id reachable by links, the row's own included; null ids are passed over, so
+    it is null only where all ids of a component are. Null, empty and blank
+    texts have no shingle and no link. Repeated rows have the same set, so they
+    link.
     """
-    members, links = similar(docs, percent, size, text_col, id_col)
-    groups = components(links)
+    tables = Tables(docs.sparkSession, "jaccard")
+    members, links = similar(docs, tables, percent, size, text_col, id_col)
+    groups = components(links, tables)
     least = members.where("node is not null").groupBy("node").agg(F.min("id").alias("least"))
-    joined = least.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    joined = tables.keep(least.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
     of = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = joined.join(of, "component").select("node", "component_id")
     out = members.join(ids, "node", "left")
-    return out.select("row", F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select(*ROW, F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, size: int = 5, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without rows whose component holds a smaller id, or the same id in another row of smaller hash; rows without shingles or ids stay."""
+    """``docs`` without rows whose component holds a smaller id; rows without shingles or ids stay.
+
+    Of rows that share id and text one stays; other rows of one id are one
+    document and stay or go together.
+    """
     d = with_components(docs, percent, size, text_col, id_col)
-    keep = d.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("row").alias("__row"), "n_shingles").distinct()
-    kept = docs.withColumn("__row", F.xxhash64(id_col, text_col)).join(keep.select("__row"), "__row", "left_semi")
+    rows = [spare(docs.columns, f"__{n}") for n in ROW]
+    mine = d.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(*(F.col(o).alias(n) for o, n in zip(ROW, rows, strict=True))).distinct()
+    kept = docs.select("*", *(x.alias(n) for x, n in zip(identity(id_col, text_col), rows, strict=True))).join(mine, rows, "left_semi")
     # by the key of the join just made, which needs no shuffle of its own
-    return kept.dropDuplicates(["__row"]).drop("__row")
+    return kept.dropDuplicates(rows).drop(*rows)

@@ -11,12 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, batch_of, slices, utf8
+from .common import Tables, batch_of, identity, slices, spare, utf8
 
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bits of a filter for each byte of text, and the bounds of a filter's size in bits.
 BITS_A_BYTE, LEAST_BITS, MOST_BITS = 0.1, 1 << 16, 1 << 27
-SALTS = 64
 CHUNK = 1 << 18  # bytes of a filter that travel as one row
 
 
@@ -125,11 +124,12 @@ def filter_bits(n_bytes: int) -> int:
     return 1 << max(LEAST_BITS.bit_length() - 1, min(MOST_BITS.bit_length() - 1, max(1, want).bit_length()))
 
 
-SUSPECT = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("row", pa.int64()), ("id", pa.int64())])
+SUSPECT = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("r1", pa.int64()), ("r2", pa.int64()), ("id", pa.int64())])
+ROW = ["r1", "r2"]
 
 
-def repeated_lines(docs: DataFrame, least_docs: int, least_chars: int) -> DataFrame:
-    """(row, drop): for rows (row, id, text), the keys whose lines go, as 16-byte words joined."""
+def repeated_lines(docs: DataFrame, least_docs: int, least_chars: int, tables: Tables) -> DataFrame:
+    """(r1, r2, drop): for rows (r1, r2, id, text), the keys whose lines go, as 16-byte words joined."""
     spark: SparkSession = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = filter_bits(size)
@@ -149,15 +149,17 @@ def repeated_lines(docs: DataFrame, least_docs: int, least_chars: int) -> DataFr
                 hit = (_get(filt, p) & _get(filt, q)) > 0
                 at = pa.array(np.array(of)[hit])
                 k = keys[hit].view(np.int64)
-                yield batch_of(SUSPECT, np.ascontiguousarray(k[:, 0]), np.ascontiguousarray(k[:, 1]), b.column(0).take(at), b.column(1).take(at))
-
-    seen = checkpoint(docs.select("row", "id", "text").mapInArrow(suspects, "k1 long, k2 long, row long, id long"))
-    # partial counts first: a line of every document is one row for each task
-    found = seen.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("id").alias("last")).where(F.col("n") >= least_docs)
-    # each line goes to SALTS tasks, which a line of very many documents needs
-    salted = seen.withColumn("salt", F.pmod("row", F.lit(SALTS)))
-    gone = salted.join(found.select("k1", "k2", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")), ["k1", "k2", "salt"]).where(~F.col("id").eqNullSafe(F.col("last")) & F.col("last").isNotNull())
-    return gone.select("row", F.struct("k1", "k2").alias("k")).groupBy("row").agg(F.collect_set("k").alias("drop"))
+                yield batch_of(SUSPECT, np.ascontiguousarray(k[:, 0]), np.ascontiguousarray(k[:, 1]), *(b.column(i).take(at) for i in range(3)))
+
+    seen = tables.keep(docs.select(*ROW, "id", "text").mapInArrow(suspects, "k1 long, k2 long, r1 long, r2 long, id long"))
+    # partial sets first: a line of every document is one row for each task and id
+    many = F.count_distinct("id") + F.count_if(F.col("id").isNull()) >= least_docs
+    found = tables.keep(seen.groupBy("k1", "k2").agg(many.alias("many"), F.max("id").alias("last")).where("many and last is not null").select("k1", "k2", "last"))
+    # both sides are tables of known size: the few lines are broadcast, or adaptive execution splits a line of very many documents
+    gone = seen.join(found, ["k1", "k2"]).where(~F.col("id").eqNullSafe(F.col("last")))
+    out = tables.keep(gone.select(*ROW, F.struct("k1", "k2").alias("k")).groupBy(*ROW).agg(F.collect_set("k").alias("drop")))
+    tables.drop(seen, found)
+    return out
 
 
 def dedup_lines(docs: DataFrame, least_docs: int = 5, least_chars: int = 40, text_col: str = "text", id_col: str = "doc_id", prefix: str = "") -> DataFrame:
@@ -165,25 +167,29 @@ def dedup_lines(docs: DataFrame, least_docs: int = 5, least_chars: int = 40, tex
 
     A line's key is the line without ASCII spaces at its ends, A-Z
     lower-cased. Lines whose key has at least ``least_chars`` code points and
-    is in at least ``least_docs`` rows go everywhere but in the row (or rows)
-    of the largest id that holds it. Other lines stay in order, joined by a
-    newline. Null and empty texts are one empty line, returned as the empty
-    text. Each row counts as a document; null ids are never the largest, and
+    is in at least ``least_docs`` documents go everywhere but in the row (or
+    rows) of the largest id that holds it. Other lines stay in order, joined by
+    a newline. Null and empty texts are one empty line, returned as the empty
+    text. Rows of one id are one document, and each gives a row of the result;
+    each row without an id counts as a document, is never the largest, and
     where all ids are null nothing goes. Keys are compared by 128-bit hashes.
+    Columns of ``docs`` named like the new ones are replaced.
     """
     names = [f"{prefix}n_lines", f"{prefix}n_dropped"]
     d = docs.drop(*[n for n in names if n in docs.columns])
-    row = F.xxhash64(id_col, text_col)
-    base = d.select(row.alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    gone = repeated_lines(base, least_docs, least_chars)
-    both = d.withColumn("__row", row).join(gone.select(F.col("row").alias("__row"), F.col("drop").alias("__drop")), "__row", "left").drop("__row")
+    keys = identity(id_col, text_col)
+    base = d.select(*(x.alias(n) for x, n in zip(keys, ROW, strict=True)), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    gone = repeated_lines(base, least_docs, least_chars, Tables(docs.sparkSession, "lines"))
+    rows, mark = [spare(d.columns, f"__{n}") for n in ROW], spare(d.columns, "__drop")
+    gone = gone.select(*(F.col(o).alias(n) for o, n in zip(ROW, rows, strict=True)), F.col("drop").alias(mark))
+    both = d.select("*", *(x.alias(n) for x, n in zip(keys, rows, strict=True))).join(gone, rows, "left").drop(*rows)
     fields = [f for f in d.schema.fields]
     out = T.StructType([*[T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in fields], T.StructField(names[0], T.LongType()), T.StructField(names[1], T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_col):
             texts, kept, lines, dropped = _texts(b, text_col), [], [], []
-            drops = b.column(b.schema.get_field_index("__drop"))
+            drops = b.column(b.schema.get_field_index(mark))
             k1, k2 = drops.values.field("k1"), drops.values.field("k2")
             words = np.stack([np.asarray(k1, np.int64), np.asarray(k2, np.int64)], 1).tobytes() if len(drops.values) else b""
             o, there = drops.offsets.to_pylist(), drops.is_valid().to_pylist()
@@ -199,9 +205,9 @@ def dedup_lines(docs: DataFrame, least_docs: int = 5, least_chars: int = 40, tex
                 dropped.append(gone_here)
             cols, at = [], b.schema.get_field_index(text_col)
             for i, f in enumerate(b.schema):
-                if f.name != "__drop":
+                if f.name != mark:
                     cols.append(pa.array(kept, pa.binary()).cast(pa.string()) if i == at else b.column(i))
-            sch = pa.schema([pa.field(f.name, pa.string()) if f.name == text_col else f for f in b.schema if f.name != "__drop"] + [pa.field(names[0], pa.int64()), pa.field(names[1], pa.int64())])
+            sch = pa.schema([pa.field(f.name, pa.string()) if f.name == text_col else f for f in b.schema if f.name != mark] + [pa.field(names[0], pa.int64()), pa.field(names[1], pa.int64())])
             yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], schema=sch)
 
     return both.mapInArrow(run, out)

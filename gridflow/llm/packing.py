@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, checkpoint, slices, utf8
+from .common import Tables, batch_of, slices, utf8
 from .tokens import SLICE, with_end, word_ids
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("doc_key", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -151,10 +151,11 @@ def pack_pieces(items: DataFrame, capacity: int, most: int = 400_000, rounds: in
     spark = items.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # full pieces and the others are read apart; making them once costs a few bytes a document
-    items = checkpoint(items)
+    tables = Tables(spark, "packing")
+    items = tables.keep(items)
     key = F.xxhash64("doc_key", "piece")
     full = items.where(F.col("length") >= capacity)
-    # a piece that fills its sequence needs no packing; its number is that of its checkpointed row, as repeated rows share a key, in a range of its own
+    # a piece that fills its sequence needs no packing; its number is that of its written row, as repeated rows share a key, in a range of its own
     done = [full.select(*PIECES.names, F.monotonically_increasing_id().bitwiseOR(F.lit(-(2**63))).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     rest, base = items.where(F.col("length") < capacity), 0
     for k in range(rounds + 1):
@@ -163,7 +164,7 @@ def pack_pieces(items: DataFrame, capacity: int, most: int = 400_000, rounds: in
         if k == rounds:
             done.append(packed.select(*PIECES.names, "sequence_id", "offset"))
             break
-        packed = checkpoint(packed)
+        packed = tables.keep(packed)
         done.append(packed.where("stays").select(*PIECES.names, "sequence_id", "offset"))
         rest, base = packed.where("not stays").select(*PIECES.names), base + (1 << 60)
     out = done[0]

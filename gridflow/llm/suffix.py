@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LETTER, U64, as_long, batch_of, checkpoint, mix, prefix_hashes, remove, runs, shared_path, slices, span_hash, utf8
+from .common import LETTER, U64, Tables, as_long, batch_of, identity, mix, prefix_hashes, runs, slices, spare, span_hash, utf8
 
 #: Length of the strings by whose hashes anchors are chosen, as a share of the repeat's length.
 ANCHOR_SHARE = 0.25
@@ -68,8 +68,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple
     return text, h[at], g, at - base, lo - base, hi - base
 
 
-ANCHOR = pa.schema([("row", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("c", pa.int32()), ("at", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
-_ANCHOR = "row long, h long, g long, c int, at int, lo int, hi int"
+ANCHOR = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("c", pa.int32()), ("at", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
+_ANCHOR = "r1 long, r2 long, h long, g long, c int, at int, lo int, hi int"
 
 
 # --- suffix sort of the contexts of one block -------------------------------------------------
@@ -205,7 +205,9 @@ def repeated_windows(contexts: list[bytes], place: np.ndarray, owned: np.ndarray
     return [np.array(x, np.int64) for x in out]
 
 
-RANGE = pa.schema([("row", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+RANGE = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+_RANGE = "r1 long, r2 long, lo int, hi int"
+ROW = ["r1", "r2"]
 
 
 def _starts_to_ranges(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,78 +215,78 @@ def _starts_to_ranges(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s, e - 1
 
 
-def repeated_ranges(base: DataFrame, length: int) -> DataFrame:
-    """(row, spans): runs lo..hi of window starts that occur elsewhere, for rows (row, id, text)."""
-    spark = base.sparkSession
+def repeated_ranges(base: DataFrame, length: int, tables: Tables) -> DataFrame:
+    """(r1, r2, spans): runs lo..hi of window starts that occur elsewhere, for rows (r1, r2, text); a table among ``tables``."""
     k = max(1, int(length * ANCHOR_SHARE))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # anchors with the same bytes twice in a slice are settled here: their runs of windows, and one row that counts them
         for b in slices(batches, "text"):
-            data, offsets = utf8(b.column(1))
+            data, offsets = utf8(b.column(2))
             text, h, g, at, lo, hi = anchors(data, offsets, length, k)
             if not len(text):
                 continue
-            row = b.column(0).to_numpy()[text]
+            r1, r2 = b.column(0).to_numpy(), b.column(1).to_numpy()
             order = np.lexsort((g, h))
             new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])])
             first = np.flatnonzero(new)
             count = np.diff(np.concatenate([first, [len(order)]]))
             one = order[first]
-            yield batch_of(ANCHOR, row[one], as_long(h[one]), as_long(g[one]), count.astype(np.int32), at[one].astype(np.int32), lo[one].astype(np.int32), hi[one].astype(np.int32))
+            yield batch_of(ANCHOR, r1[text[one]], r2[text[one]], as_long(h[one]), as_long(g[one]), count.astype(np.int32), at[one].astype(np.int32), lo[one].astype(np.int32), hi[one].astype(np.int32))
             again = np.sort(order[np.repeat(count > 1, count)])
             if len(again):
                 base = offsets[text[again]]
                 s, e = runs(base + lo[again], base + hi[again] + 1)
                 of = np.searchsorted(offsets, s, "right") - 1
-                none = pa.nulls(len(s), pa.int64())
-                yield batch_of(ANCHOR, b.column(0).to_numpy()[of], none, none, pa.nulls(len(s), pa.int32()), pa.nulls(len(s), pa.int32()), (s - offsets[of]).astype(np.int32), (e - 1 - offsets[of]).astype(np.int32))
-
-    path = shared_path(spark, "anchors")
-    base.select("row", "text").mapInArrow(choose, _ANCHOR).write.parquet(path)
-    every = spark.read.parquet(path)
-    # an anchor seen once has no equal window anywhere; counts are summed in each task before they travel
-    shared = every.where("h is not null").groupBy("h").agg(F.sum("c").alias("n"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("n > 1").select("h", (F.col("g0") != F.col("g1")).alias("mixed"))
-    some = checkpoint(every.where("h is not null").join(shared, "h").unionByName(every.where("h is null").withColumn("mixed", F.lit(None).cast("boolean"))))
-    remove(spark, path)
-    settled = some.where("h is null").select("row", "lo", "hi")
-    some = some.where("h is not null")
-    kinds = some.groupBy("h", "g").agg(F.sum("c").alias("c"), F.first("row").alias("row"), F.first("at").alias("at"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("mixed").alias("mixed"))
+                none, small = pa.nulls(len(s), pa.int64()), pa.nulls(len(s), pa.int32())
+                yield batch_of(ANCHOR, r1[of], r2[of], none, none, small, small, (s - offsets[of]).astype(np.int32), (e - 1 - offsets[of]).astype(np.int32))
+
+    every = tables.keep(base.select("r1", "r2", "text").mapInArrow(choose, _ANCHOR))
+    settled = every.where("h is null").select(*ROW, "lo", "hi")
+    some = every.where("h is not null")
+    # one record for each anchor's different surroundings; counts are summed in each task before they travel
+    kinds = tables.keep(some.groupBy("h", "g").agg(F.sum("c").alias("c"), *(F.first(x).alias(x) for x in ("r1", "r2", "at", "lo", "hi"))))
     # the same bytes around the same anchor twice: all its windows repeat
-    whole = some.where("c = 1").join(kinds.where("c > 1").select("h", "g"), ["h", "g"]).select("row", "lo", "hi")
-    sizes = kinds.where("mixed").groupBy("h").agg((F.count("*") > MOST_IN_GROUP).alias("large"))
-    asked = kinds.where("mixed").join(sizes, "h").groupBy("row").agg(F.collect_list(F.struct("h", "at", "lo", "hi", (F.col("c") > 1).alias("known"), "large")).alias("asked"))
-    context = base.select("row", "text").join(asked, "row").select("row", "text", "asked").mapInArrow(lambda it: _contexts(it, length), "h long, row long, lo int, place int, owned int, known boolean, large boolean, context binary")
-    crowd = context.where("large").groupBy("h").count().where(F.col("count") > MOST_IN_GROUP).select("h")
+    whole = tables.keep(some.where("c = 1").join(kinds.where("c > 1").select("h", "g"), ["h", "g"]).select(*ROW, "lo", "hi").unionByName(settled))
+    tables.drop(every)
+    # an anchor with several surroundings is settled by its bytes; tables of known size let a join split a frequent anchor or broadcast the few
+    mixed = tables.keep(kinds.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h", (F.col("k") > MOST_IN_GROUP).alias("large")))
+    asked = tables.keep(kinds.join(mixed, "h").groupBy(*ROW).agg(F.collect_list(F.struct("h", "at", "lo", "hi", (F.col("c") > 1).alias("known"), "large")).alias("asked")))
+    tables.drop(kinds, mixed)
+    context = tables.keep(base.join(asked, ROW).select(*ROW, "text", "asked").mapInArrow(lambda it: _contexts(it, length), _CONTEXT))
+    crowd = tables.keep(context.where("large").groupBy("h").count().where(F.col("count") > MOST_IN_GROUP).select("h"))
     fine = context.where("large").join(crowd, "h", "left_anti")
-    small = context.where("not large").unionByName(fine).drop("large").repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: _sorted_groups(it, length), "row long, lo int, hi int")
-    windows = context.where("large").join(crowd, "h", "left_semi").drop("large").mapInArrow(lambda it: _windows(it, length), "w long, v long, row long, at int, known boolean")
+    small = context.where("not large").unionByName(fine).drop("large").repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: _sorted_groups(it, length), _RANGE)
+    windows = context.where("large").join(crowd, "h", "left_semi").drop("large").mapInArrow(lambda it: _windows(it, length), "w long, v long, r1 long, r2 long, at int, known boolean")
     twice = windows.groupBy("w", "v").count().where("count > 1").select("w", "v")
-    large = windows.where("not known").join(twice, ["w", "v"]).select("row", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    found = settled.unionByName(whole).unionByName(small).unionByName(large)
-    return found.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    large = windows.where("not known").join(twice, ["w", "v"]).select(*ROW, F.col("at").alias("lo"), F.col("at").alias("hi"))
+    found = whole.unionByName(small).unionByName(large)
+    out = tables.keep(found.groupBy(*ROW).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    tables.drop(whole, asked, context, crowd)
+    return out
 
 
-CONTEXT = pa.schema([("h", pa.int64()), ("row", pa.int64()), ("lo", pa.int32()), ("place", pa.int32()), ("owned", pa.int32()), ("known", pa.bool_()), ("large", pa.bool_()), ("context", pa.binary())])
+CONTEXT = pa.schema([("h", pa.int64()), ("r1", pa.int64()), ("r2", pa.int64()), ("lo", pa.int32()), ("place", pa.int32()), ("owned", pa.int32()), ("known", pa.bool_()), ("large", pa.bool_()), ("context", pa.binary())])
+_CONTEXT = "h long, r1 long, r2 long, lo int, place int, owned int, known boolean, large boolean, context binary"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes that the asked anchors' windows cover."""
     for b in slices(batches, "text", 1 << 22):
-        data, o = utf8(b.column(1))
+        data, o = utf8(b.column(2))
         raw, rows = data.tobytes(), []
-        for i, (row, asked) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+        for i, (r1, r2, asked) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
             for a in asked:
                 start, at = int(o[i]), a["at"]
                 if not a["large"]:
-                    rows.append((a["h"], row, a["lo"], at - a["lo"], a["hi"] - a["lo"] + 1, a["known"], False, raw[start + a["lo"] : start + a["hi"] + length]))
+                    rows.append((a["h"], r1, r2, a["lo"], at - a["lo"], a["hi"] - a["lo"] + 1, a["known"], False, raw[start + a["lo"] : start + a["hi"] + length]))
                     continue
                 for j in range((at - a["hi"]) // NARROW, (at - a["lo"]) // NARROW + 1):
                     lo, hi = max(a["lo"], at - NARROW * j - NARROW + 1), min(a["hi"], at - NARROW * j)
                     # what all windows of this distance from the anchor hold
                     core = raw[start + at - NARROW * j : start + at - NARROW * j - NARROW + 1 + length]
                     key = int.from_bytes(hashlib.blake2b(core, digest_size=8, key=f"{a['h']},{j}".encode()).digest(), "little", signed=True)
-                    rows.append((key, row, lo, at - lo, hi - lo + 1, a["known"], True, raw[start + lo : start + hi + length]))
+                    rows.append((key, r1, r2, lo, at - lo, hi - lo + 1, a["known"], True, raw[start + lo : start + hi + length]))
         if rows:
             yield batch_of(CONTEXT, *zip(*rows, strict=True))
 
@@ -294,16 +296,15 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
     held: list[tuple] = []
 
     def solve(rows: list[tuple]) -> pa.RecordBatch | None:
-        h, row, lo, place, owned, known, context = zip(*rows, strict=True)
+        h, r1, r2, lo, place, owned, known, context = zip(*rows, strict=True)
         starts = repeated_windows(list(context), np.array(place), np.array(owned), np.unique(np.array(h), return_inverse=True)[1].reshape(-1), length)
-        r, s, e = [], [], []
+        found: tuple[list, ...] = ([], [], [], [])
         for i, x in enumerate(starts):
             if len(x) and not known[i]:
                 a, b = _starts_to_ranges(x)
-                r += [row[i]] * len(a)
-                s += (a + lo[i]).tolist()
-                e += (b + lo[i]).tolist()
-        return batch_of(RANGE, r, s, e) if r else None
+                for to, new in zip(found, ([r1[i]] * len(a), [r2[i]] * len(a), (a + lo[i]).tolist(), (b + lo[i]).tolist()), strict=True):
+                    to += new
+        return batch_of(RANGE, *found) if found[0] else None
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -316,20 +317,20 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
         yield made
 
 
-WINDOW = pa.schema([("w", pa.int64()), ("v", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("known", pa.bool_())])
+WINDOW = pa.schema([("w", pa.int64()), ("v", pa.int64()), ("r1", pa.int64()), ("r2", pa.int64()), ("at", pa.int32()), ("known", pa.bool_())])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """128 bits of hash for each window of the contexts of large groups."""
     for b in batches:
-        for h, row, lo, place, owned, known, context in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for h, r1, r2, lo, place, owned, known, context in zip(*(c.to_pylist() for c in b.columns), strict=True):
             P = prefix_hashes(LETTER[np.frombuffer(context, np.uint8)])
             at = np.arange(owned)
             w = span_hash(P, at, at + length)
-            yield batch_of(WINDOW, as_long(mix(w)), as_long(mix(np.full(owned, h, np.int64).view(np.uint64) ^ (place - at).astype(np.uint64))), np.full(owned, row), (lo + at).astype(np.int32), np.full(owned, known))
+            yield batch_of(WINDOW, as_long(mix(w)), as_long(mix(np.full(owned, h, np.int64).view(np.uint64) ^ (place - at).astype(np.uint64))), np.full(owned, r1), np.full(owned, r2), (lo + at).astype(np.int32), np.full(owned, known))
 
 
-def cut_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", id_col: str = "doc_id", prefix: str = "", bytes_col: str = "kept", text_out: bool = False) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", id_col: str = "doc_id", prefix: str = "", bytes_col: str = "kept", text_out: bool = False, passage: int | None = None) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans behind ``prefix`` and the kept bytes.
 
     A byte goes if a string of ``length`` bytes that covers it also starts
@@ -337,38 +338,54 @@ def cut_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", id_c
     Null texts are empty; each row is a document of its own, so repeated rows
     are copies. With ``text_out`` the text column itself gets the kept bytes,
     where parts of characters at a cut go as well; else they are in ``bytes_col``.
+    Columns of ``docs`` of these names are replaced, all others are kept. A text
+    of 256 MiB or more raises.
+
+    With ``passage``, a further column n_repeated counts the bytes covered by
+    strings of that many bytes that also start anywhere else; they aren't removed.
     """
-    names = [f"{prefix}n_bytes", f"{prefix}n_removed", f"{prefix}n_spans"]
+    names = [f"{prefix}{n}" for n in ("n_bytes", "n_removed", "n_spans", *(["n_repeated"] if passage else []))]
     d = docs.drop(*names, *([] if text_out else [bytes_col]))
-    row = F.xxhash64(id_col, text_col)
-    base = d.select(row.alias("row"), F.col(text_col).alias("text"))
-    spans = repeated_ranges(base, length)
-    both = d.withColumn("__row", row).join(spans.select(F.col("row").alias("__row"), F.col("spans").alias("__spans")), "__row", "left").drop("__row")
+    tables = Tables(docs.sparkSession, "repeats")
+    keys = identity(id_col, text_col)
+    base = d.select(*(x.alias(n) for x, n in zip(keys, ROW, strict=True)), F.col(text_col).alias("text"))
+    spans = repeated_ranges(base, length, tables).withColumnRenamed("spans", "s0")
+    if passage:
+        spans = spans.join(repeated_ranges(base, passage, tables).withColumnRenamed("spans", "s1"), ROW, "full")
+    rows, marks = [spare(d.columns, f"__{n}") for n in ROW], [spare(d.columns, f"__s{i}") for i in range(2 if passage else 1)]
+    for old, new in zip([*ROW, *(f"s{i}" for i in range(len(marks)))], [*rows, *marks], strict=True):
+        spans = spans.withColumnRenamed(old, new)
+    both = d.select("*", *(x.alias(n) for x, n in zip(keys, rows, strict=True))).join(spans, rows, "left").drop(*rows)
     fields = [T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in d.schema.fields]
     out = T.StructType([*fields, *([] if text_out else [T.StructField(bytes_col, T.BinaryType())]), *[T.StructField(n, T.LongType()) for n in names]])
 
+    def covered(column: pa.ListArray, width: int, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Maximal runs of the bytes that each row's windows cover."""
+        lo, hi = np.asarray(column.values.field("lo"), np.int64), np.asarray(column.values.field("hi"), np.int64)
+        o, there = column.offsets.to_pylist(), column.is_valid().to_pylist()
+        for i in range(n):
+            yield runs(lo[o[i] : o[i + 1]], hi[o[i] : o[i + 1]] + width) if there[i] else (lo[:0], hi[:0])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_col):
             at = b.schema.get_field_index(text_col)
             data, o = utf8(b.column(at))
             raw = data.tobytes()
-            spans = b.column(b.schema.get_field_index("__spans"))
-            lo, hi = np.asarray(spans.values.field("lo"), np.int64), np.asarray(spans.values.field("hi"), np.int64)
-            so, there = spans.offsets.to_pylist(), spans.is_valid().to_pylist()
+            column = lambda name: b.column(b.schema.get_field_index(name))
             kept, removed, count = [], [], []
-            for i in range(b.num_rows):
-                t, gone, n = raw[int(o[i]) : int(o[i + 1])], 0, 0
-                if there[i]:
-                    s, e = runs(lo[so[i] : so[i + 1]], hi[so[i] : so[i + 1]] + length)
-                    gone, n = int((e - s).sum()), len(s)
+            for i, (s, e) in enumerate(covered(column(marks[0]), length, b.num_rows)):
+                t = raw[int(o[i]) : int(o[i + 1])]
+                if len(s):
                     edges = [0, *np.stack([s, e], 1).ravel().tolist(), len(t)]
                     t = b"".join(t[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
                 kept.append(t)
-                removed.append(gone)
-                count.append(n)
-            cols = [(pa.array([t.decode("utf-8", "ignore") for t in kept], pa.string()) if i == at and text_out else c) for i, c in enumerate(b.columns) if b.schema.names[i] != "__spans"]
-            more = ([] if text_out else [pa.array(kept, pa.binary())]) + [pa.array(np.diff(o)), pa.array(removed, pa.int64()), pa.array(count, pa.int64())]
-            sch = [f for f in b.schema if f.name != "__spans"] + ([] if text_out else [pa.field(bytes_col, pa.binary())]) + [pa.field(n, pa.int64()) for n in names]
-            yield pa.RecordBatch.from_arrays([*cols, *more], schema=pa.schema(sch))
+                removed.append(int((e - s).sum()))
+                count.append(len(s))
+            more = [np.diff(o), removed, count]
+            if passage:
+                more.append([int((e - s).sum()) for s, e in covered(column(marks[1]), passage, b.num_rows)])
+            cols = [(pa.array([t.decode("utf-8", "ignore") for t in kept], pa.string()) if i == at and text_out else c) for i, c in enumerate(b.columns) if b.schema.names[i] not in marks]
+            sch = [f for f in b.schema if f.name not in marks] + ([] if text_out else [pa.field(bytes_col, pa.binary())]) + [pa.field(n, pa.int64()) for n in names]
+            yield pa.RecordBatch.from_arrays([*cols, *([] if text_out else [pa.array(kept, pa.binary())]), *(pa.array(x, pa.int64()) for x in more)], schema=pa.schema(sch))
 
     return both.mapInArrow(run, out)

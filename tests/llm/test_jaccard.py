@@ -65,10 +65,43 @@ def test_ties_nulls_and_repeats(spark):
 
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(200, 200), (None, 3), (7, 5)]
-    got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long"), common.Tables(spark, "t")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
 
 
 def test_prefix_length():
     n = np.arange(1, 50)
     assert (jaccard.prefix_length(n, 80) == [k - int(np.ceil(0.8 * k - 1e-9)) + 1 for k in n]).all()
+
+
+def test_suffix_filter_bounds_the_difference_from_below():
+    r = np.random.default_rng(4)
+    for _ in range(300):
+        x, y = (np.unique(r.integers(0, 60, r.integers(0, 40)).astype(np.uint64)) for _ in range(2))
+        true = len(np.setxor1d(x, y))
+        for most in (0, 3, 10, 100):
+            bound = jaccard.suffix_difference(x, y, most)
+            assert bound <= true
+        assert jaccard.suffix_difference(x, y, 10**6, 30) == true
+
+
+def test_sets_of_one_node_are_told_apart(spark, monkeypatch):
+    texts = corpus(1)
+    make = jaccard.set_hashes
+
+    def clashing(h, text, rows):
+        n, node, more = make(h, text, rows)
+        return n, np.where(n > 0, node % np.uint64(5) + np.uint64(1), node), more
+
+    monkeypatch.setattr(jaccard, "set_hashes", clashing)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.with_components(table(spark, texts)).collect()}
+    assert got == brute(texts)
+
+
+def test_very_long_texts_clashing_columns_and_exact_copies(spark):
+    long = " ".join(f"w{i % 9973}x{i % 31}" for i in range(150_000))  # over a slice of 1 MiB
+    d = spark.createDataFrame([(i, long if i < 3 else f"{long} tail {i}", 1, 2) for i in range(5)], "doc_id long, text string, __r1 int, R2 int")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.with_components(d).collect()}
+    assert got == dict.fromkeys(range(5), 0)
+    one = jaccard.one_of_each(d)
+    assert one.columns == d.columns and [r["doc_id"] for r in one.collect()] == [0]

@@ -59,6 +59,20 @@ def test_suffix_dedup_is_brute_force(spark, monkeypatch, most):
     assert got == brute_repeats(texts, 100)
 
 
+def test_shorter_repeats_are_counted_beside(spark):
+    texts = repeat_texts()
+    rows = suffix.cut_repeats(table(spark, texts).withColumnRenamed("h", "__s0").withColumnRenamed("n_lines", "__R1"), 100, passage=40).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in rows} == brute_repeats(texts, 100)
+    assert {r["doc_id"]: r["n_repeated"] for r in rows} == {i: w[1] for i, w in brute_repeats(texts, 40).items()}
+    assert all(r["__s0"] is None and r["__R1"] == r["doc_id"] for r in rows)
+
+
+def test_suffix_dedup_of_a_text_longer_than_a_slice(spark):
+    texts = [prose(21, 400_000), prose(22, 60) + prose(21, 400_000)[900_000:901_000], "x" * 3_000_000]
+    got = {r["doc_id"]: r for r in suffix.cut_repeats(table(spark, texts), 400).collect()}
+    assert got[0]["n_removed"] == got[1]["n_removed"] == len(texts[0][900_000:901_000].encode()) and got[2]["n_removed"] == 3_000_000 and got[2]["n_spans"] == 1
+
+
 def test_suffix_dedup_of_an_empty_table_and_repeated_rows(spark):
     assert suffix.cut_repeats(table(spark, ["x"]).where("false"), 100).count() == 0
     d = spark.createDataFrame([(1, prose(5, 100)), (1, prose(5, 100)), (None, prose(6, 100))], "doc_id long, text string")
@@ -112,6 +126,16 @@ def test_line_dedup_is_brute_force(spark):
     assert lines.dedup_lines(table(spark, ["x"]).where("false")).count() == 0
 
 
+def test_line_dedup_counts_documents_not_rows(spark):
+    line = "a line that is long enough to be counted by this test"
+    d = spark.createDataFrame([(1, line)] * 3 + [(2, line)] * 2, "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_dropped"]) for r in lines.dedup_lines(d).collect()) == [(1, 0)] * 3 + [(2, 0)] * 2
+    more = d.union(spark.createDataFrame([(None, line), (None, line), (3, line), (3, line)], d.schema)).withColumnsRenamed({}).selectExpr("*", "1 as __r1", "2 as __DROP")
+    got = lines.dedup_lines(more)
+    assert got.columns == ["doc_id", "text", "__r1", "__DROP", "n_lines", "n_dropped"]
+    assert sorted((r["doc_id"] or 0, r["n_dropped"], r["text"]) for r in got.collect()) == [(0, 1, "")] * 2 + [(1, 1, "")] * 3 + [(2, 1, "")] * 2 + [(3, 0, line)] * 2
+
+
 def test_line_dedup_without_ids_keeps_everything(spark):
     d = spark.createDataFrame([(None, "x" * 50)] * 6, "doc_id long, text string")
     assert {r["n_dropped"] for r in lines.dedup_lines(d).collect()} == {0}
