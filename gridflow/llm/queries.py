@@ -12,6 +12,8 @@ from .common import shared_path
 
 #: Rows that the classifiers are fitted on, at most; they come to the driver.
 LANG_ROWS, TOXIC_ROWS = 3_000, 6_000
+#: 50 words of three letters and a space: what a passage of over 50 words holds at the least, but for very short words.
+PASSAGE_BYTES = 200
 
 
 def tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -25,8 +27,8 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = suffix.cut_repeats(_docs(spark, sf_dir).select("doc_id", "text"), 400)
-    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    d = suffix.cut_repeats(_docs(spark, sf_dir).select("doc_id", "text"), 400, passage=PASSAGE_BYTES)
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,15 +93,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: Lines of every document; the whole semantics in SQL.
 _OP4 = r"""
 WITH l AS (
-  SELECT doc_id, i, n, line, lower_key AS k FROM (
-    SELECT doc_id, i, len(a) AS n, a[i] AS line,
+  SELECT r, doc_id, i, n, line, lower_key AS k FROM (
+    SELECT r, doc_id, i, len(a) AS n, a[i] AS line,
       translate(trim(a[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_key
-    FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)))),
+    FROM (SELECT r, doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)))),
 f AS (SELECT k, max(doc_id) AS last FROM (SELECT DISTINCT k, doc_id FROM l WHERE length(k) >= 40) GROUP BY k HAVING count(*) >= 5),
 m AS (SELECT l.*, (f.k IS NOT NULL AND l.doc_id <> f.last) AS gone FROM l LEFT JOIN f ON l.k = f.k)
 SELECT doc_id, CAST(max(n) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY r, doc_id
 """
 
 
