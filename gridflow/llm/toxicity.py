@@ -111,8 +111,7 @@ def contrast(texts: list[str], toxic: np.ndarray, least: int = 2) -> list[tuple[
         if y:
             count.update(set(words))
             for b, w in zip(["", *words], words, strict=False):
-                if len(before[w]) < 1000:
-                    before[w].add(b)
+                before[w].add(b)
         else:
             ordinary.update(set(words))
     ratio = max(1.0, (len(toxic) - toxic.sum()) / max(1, toxic.sum()))

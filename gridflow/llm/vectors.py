@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import decimal
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,10 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import batch_of
 
-#: Rows of an indexed block and queries of a block, about.
-BLOCK_ROWS, BLOCK_QUERIES = 16_384, 2_048
-PACKED = pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("values", pa.binary())])
-FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+#: Rows of an indexed block at the most, but for chance; queries that one copy of a block's index serves.
+BLOCK_ROWS, BLOCK_QUERIES = 16_384, 200_000
+#: Components of integer vectors are held to this size either way, so that a score has at most 38 digits.
+LARGEST = 1 << 59
 
 
 def usable(vectors: DataFrame, vec_col: str, id_col: str, nonzero: bool) -> DataFrame:
@@ -26,54 +27,64 @@ def usable(vectors: DataFrame, vec_col: str, id_col: str, nonzero: bool) -> Data
     return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(fine)
 
 
-def pack_blocks(rows: DataFrame, blocks: int, width: int) -> DataFrame:
-    """(block, ids, values): each of ``blocks`` blocks by a hash of the id, as arrays of ids and of doubles padded to ``width``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for b in batches:
-            v = b.column(2)
-            x = np.zeros((b.num_rows, width))
-            n = np.diff(v.offsets.to_numpy())
-            x[np.repeat(np.arange(b.num_rows), n), np.concatenate([np.arange(k) for k in n]) if b.num_rows else []] = v.flatten().to_numpy(zero_copy_only=False)
-            ids, at = b.column(1).to_numpy(), b.column(0).to_numpy()
-            for k in np.unique(at).tolist():
-                held.setdefault(k, []).append((ids[at == k], x[at == k]))
-        for k, parts in held.items():
-            ids, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            order = np.lexsort((*x.T[:1], ids)) if width else np.argsort(ids)
-            yield batch_of(PACKED, [k], [ids[order].astype("<i8").tobytes()], [x[order].astype("<f8").tobytes()])
-
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    return rows.select(block.alias("block"), "id", "v").repartition(blocks, "block").mapInArrow(run, "block int, ids binary, values binary")
+Search = Callable[[np.ndarray, np.ndarray], Iterator[tuple[int, np.ndarray, list]]]
 
 
-Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[int, np.ndarray, np.ndarray]]]
+def search_blocks(rows: DataFrame, queries: DataFrame, index: Callable[[np.ndarray, np.ndarray], Search], k: int, score: pa.DataType) -> DataFrame:
+    """(query_id, rank, vec_id, score): queries pass the index of each block of rows, which gives its best k; the best of all remain.
 
-
-def search_blocks(rows: DataFrame, queries: DataFrame, search: Search, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): a block of queries meets each block of rows once; each pair gives its best k, the best of all remain."""
+    Rows are dealt to blocks by a hash of their id. The task of a block gets
+    its rows first, calls ``index(ids, vectors)`` once and streams the queries
+    through the search that this returns. Beyond BLOCK_QUERIES queries a block
+    has several such tasks.
+    """
     n, m, width = rows.count(), queries.count(), int(rows.agg(F.max(F.size("v"))).first()[0] or 0)
-    nr, nq = max(1, round(n / BLOCK_ROWS)), -(-max(1, m) // BLOCK_QUERIES)
-    left = pack_blocks(rows, nr, width).withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    right = pack_blocks(queries, nq, width).select(F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("values").alias("qvalues")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
+    nr, nq = max(1, -(-n // BLOCK_ROWS)), max(1, -(-m // BLOCK_QUERIES))
+    block = F.pmod(F.xxhash64("id"), F.lit(nr)).cast("int")
+    share = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(nq)).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = rows.select(block.alias("block"), each(nq).alias("qblock"), F.lit(False).alias("asks"), "id", "v")
+    right = queries.select(each(nr).alias("block"), share.alias("qblock"), F.lit(True).alias("asks"), "id", "v")
+    found = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", score)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, search = None, [], None
         for b in batches:
-            for r in b.to_pylist():
-                ids, qids = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["qids"], "<i8")
-                x, q = np.frombuffer(r["values"], "<f8").reshape(len(ids), width), np.frombuffer(r["qvalues"], "<f8").reshape(len(qids), width)
-                for query, found, score in search(ids, x, qids, q):
-                    yield batch_of(FOUND, np.full(len(found), query), found, score.astype(np.float64))
-
-    best = left.join(right, ["block", "qblock"]).select("ids", "values", "qids", "qvalues").mapInArrow(run, "query_id long, vec_id long, score double")
+            key = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], 1)
+            v = b.column(4)
+            x, size = np.zeros((b.num_rows, width)), np.diff(v.offsets.to_numpy())
+            x[np.repeat(np.arange(b.num_rows), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = v.flatten().to_numpy(zero_copy_only=False)
+            ids = b.column(3).to_numpy()
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), b.num_rows]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if i == j:
+                    continue
+                if tuple(key[i, :2]) != now:
+                    now, held, search = tuple(key[i, :2]), [], None
+                if not key[i, 2]:
+                    held.append((ids[i:j], x[i:j]))
+                    continue
+                if not held:
+                    continue
+                if search is None:
+                    own, of = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                    order = np.lexsort((*of.T[:1], own)) if width else np.argsort(own)
+                    search = index(own[order], of[order])
+                for q in range(i, j, 1024):
+                    made = list(search(ids[q : min(j, q + 1024)], x[q : min(j, q + 1024)]))
+                    if made:
+                        yield batch_of(found, np.concatenate([np.full(len(f), query) for query, f, _ in made]), np.concatenate([f for _, f, _ in made]), pa.array([s for _, _, scores in made for s in scores], score))
+
+    kind = "double" if pa.types.is_floating(score) else "decimal(38,0)"
+    dealt = left.unionByName(right).repartition(nr * nq, "block", "qblock").sortWithinPartitions("block", "qblock", "asks")
+    best = dealt.mapInArrow(run, f"query_id long, vec_id long, score {kind}")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def best_rows(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Rows of the k highest scores, ties to smaller ids."""
-    return np.lexsort((ids, -score))[:k]
+    return np.array(sorted(range(len(ids)), key=lambda i: (-score[i], ids[i]))[:k], np.int64) if score.dtype == object else np.lexsort((ids, -score))[:k]
 
 
 # --- bit-sliced index --------------------------------------------------------------------------
@@ -178,37 +189,52 @@ class BitSlices:
         return np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little")[: self.n])
 
 
+def whole(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x), held to ``LARGEST`` either way."""
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(scale * x), -LARGEST, LARGEST).astype(np.int64)
+
+
+def products(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Exact inner products of integer rows with w: as 64-bit words where none can overflow, else as whole numbers of any size."""
+    most = int(np.abs(x).max(initial=0)) * int(np.abs(w).max(initial=0)) * max(1, x.shape[1])
+    return x @ w if most < 1 << 62 else x.astype(object) @ w.astype(object)
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, drop_bits: int = 3, vec_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products of floor(scale * x).
 
     ``is_query`` is over the column ``id``. Rows without an id or with a
     vector that is null or holds null or non-finite components take no part;
-    shorter vectors count as padded with zeros; components beyond 2**30 after
-    scaling raise. Repeated ids are each a candidate, never of a query with
-    their own id; a query id counts once, by its least vector.
+    shorter vectors count as padded with zeros. Products are whole numbers
+    throughout: components beyond 2**59 after scaling count as 2**59 with their
+    sign, and a score beyond 64 bits is ranked by its exact value and returned
+    as the nearest long. Repeated ids are each a candidate, never of a query
+    with their own id; a query id counts once, by its least vector.
     """
     rows = usable(vectors, vec_col, id_col, False)
     queries = rows.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
 
-    def search(ids, x, qids, q):
-        for v in (x, q):
-            if np.abs(v * scale).max(initial=0) >= 2**30:
-                raise ValueError("a component is too large for integer scores")
-        x, q = np.floor(scale * x).astype(np.int64), np.floor(scale * q).astype(np.int64)
-        if not len(ids):
-            return
-        index = BitSlices(x, drop_bits)
+    def index(ids: np.ndarray, x: np.ndarray) -> Search:
+        x = whole(x, scale)
+        slices = BitSlices(x, drop_bits)
         own = dict(zip(*np.unique(ids, return_counts=True), strict=True))
-        for query, w in zip(qids.tolist(), q, strict=True):
-            c = index.candidates(w, k + int(own.get(query, 0)))
-            c = c[ids[c] != query]
-            # rows at the boundary are resolved by their exact products
-            score = x[c] @ w
-            top = best_rows(ids[c], score, k)
-            if len(top):
-                yield query, ids[c][top], score[top]
 
-    return search_blocks(rows, queries, search, k).withColumn("score", F.col("score").cast("long"))
+        def search(qids: np.ndarray, q: np.ndarray):
+            for query, w in zip(qids.tolist(), whole(q, scale), strict=True):
+                c = slices.candidates(w, k + int(own.get(query, 0)))
+                c = c[ids[c] != query]
+                # rows at the boundary are resolved by their exact products
+                score = products(x[c], w)
+                top = best_rows(ids[c], score, k)
+                if len(top):
+                    yield query, ids[c][top], [decimal.Decimal(int(v)) for v in score[top]]
+
+        return search
+
+    found = search_blocks(rows, queries, index, k, pa.decimal128(38, 0))
+    low, high = (F.lit(v).cast("decimal(38,0)") for v in (-(2**63), 2**63 - 1))
+    return found.withColumn("score", F.greatest(low, F.least(high, "score")).cast("long"))
 
 
 # --- permutation index -------------------------------------------------------------------------
@@ -227,8 +253,9 @@ class Permutations:
         self.files = [(row[by[a:b]].astype(np.int32), place[by[a:b]].astype(np.int32)) for a, b in zip(bounds, bounds[1:], strict=False)]
         self.n = len(x)
 
-    def order(self, x: np.ndarray) -> np.ndarray:
-        return np.argsort(-(x @ self.pivots.T), axis=1, kind="stable")[:, : self.m]
+    def order(self, x: np.ndarray, rows: int = 2048) -> np.ndarray:
+        out = [np.argsort(-(x[i : i + rows] @ self.pivots.T), axis=1, kind="stable")[:, : self.m].astype(np.int32) for i in range(0, len(x), rows)]
+        return np.concatenate(out) if out else np.zeros((0, self.m), np.int32)
 
     def footrule(self, order: np.ndarray) -> np.ndarray:
         """Spearman's footrule to a query's order of pivots, less a constant; a pivot outside an order has place m."""
@@ -259,41 +286,44 @@ def choose_pivots(rows: DataFrame, pivots: int, sample: int) -> np.ndarray:
     return x[chosen]
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 128, nearest_pivots: int = 64, rerank: float = 0.06, least: int = 512, sample: int = 4096, vec_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 256, nearest_pivots: int = 96, rerank: float = 6.0, sample: int = 4096, vec_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k rows of largest cosine among those found by a permutation index.
 
     Pivots come from a sample of at most ``sample`` rows; every row is indexed.
-    In each block the share ``rerank`` of rows of least footrule (``least`` at least)
-    gets its exact cosine in double precision. Rows without an id or with a
-    vector that is null, zero or holds null or non-finite components take no
-    part; shorter vectors count as padded with zeros. Repeated ids as in ``top_k``.
+    In each block of n rows the ``rerank`` * sqrt(n) rows of least footrule, and
+    k more, get their exact cosine in double precision, which of equal vectors
+    is equal wherever they stand. Rows without an id or with a vector that is
+    null, zero or holds null or non-finite components take no part; shorter
+    vectors count as padded with zeros. Repeated ids as in ``top_k``.
     """
     rows = usable(vectors, vec_col, id_col, True)
     queries = rows.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
     chosen = choose_pivots(rows, pivots, sample)
 
-    def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        big = np.abs(x).max(1, keepdims=True)  # keeps squares finite and away from 0
-        norm = np.sqrt(((x / big) ** 2).sum(1, keepdims=True))
-        return x / big / norm, (big * norm)[:, 0]
+    def unit(x: np.ndarray) -> np.ndarray:
+        x = x / np.abs(x).max(1, keepdims=True)  # keeps squares finite and away from 0
+        return x / np.sqrt((x**2).sum(1, keepdims=True))
 
-    def search(ids, x, qids, q):
-        if not len(ids) or not len(qids):
-            return
-        u, v = unit(x)[0], unit(q)[0]
+    def index(ids: np.ndarray, x: np.ndarray) -> Search:
+        u = unit(x)
         p = np.zeros((len(chosen), u.shape[1]))
         p[:, : chosen.shape[1]] = chosen[:, : u.shape[1]]
-        index = Permutations(u, p, nearest_pivots)
-        orders = index.order(v)
-        most = min(len(ids), max(least, int(np.ceil(rerank * len(ids)))))
-        for i, query in enumerate(qids.tolist()):
-            far = index.footrule(orders[i])
-            far[ids == query] = np.iinfo(np.int32).max
-            c = np.argpartition(far, most - 1)[:most]
-            c = c[ids[c] != query]
-            score = u[c] @ v[i]
-            top = best_rows(ids[c], score, k)
-            if len(top):
-                yield query, ids[c][top], np.clip(score[top], -1, 1)
-
-    return search_blocks(rows, queries, search, k)
+        files = Permutations(u, p, nearest_pivots)
+        most = min(len(ids), k + int(np.ceil(rerank * np.sqrt(len(ids)))))
+
+        def search(qids: np.ndarray, q: np.ndarray):
+            v = unit(q)
+            for i, (query, order) in enumerate(zip(qids.tolist(), files.order(v), strict=True)):
+                far = files.footrule(order).astype(np.int64)
+                far[ids == query] = np.iinfo(np.int32).max
+                # rows stand by their ids: of equal footrules the smaller ids come first
+                c = np.argpartition(far * len(ids) + np.arange(len(ids)), most - 1)[:most]
+                c = c[ids[c] != query]
+                score = np.clip((u[c] * v[i]).sum(1), -1, 1)
+                top = best_rows(ids[c], score, k)
+                if len(top):
+                    yield query, ids[c][top], score[top].tolist()
+
+        return search
+
+    return search_blocks(rows, queries, index, k, pa.float64())

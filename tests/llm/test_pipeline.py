@@ -72,19 +72,30 @@ def test_substring_stage(spark, sf):
     t = texts(docs)
     seen, raw = defaultdict(int), {i: (x or "").encode() for i, x in t.items()}
     for b in raw.values():
-        for s in range(len(b) - 399):
-            seen[b[s : s + 400]] += 1
+        for s in range(len(b) - 199):
+            seen[b[s : s + 200]] += 1
     want = {}
     for i, b in raw.items():
         keep = np.ones(len(b), bool)
-        for s in range(len(b) - 399):
-            if seen[b[s : s + 400]] > 1:
-                keep[s : s + 400] = False
+        for s in range(len(b) - 199):
+            if seen[b[s : s + 200]] > 1:
+                keep[s : s + 200] = False
         want[i] = np.frombuffer(b, np.uint8)[keep].tobytes().decode("utf-8", "ignore")
     out = corpus_pipeline.substring_dedup(spark, docs, sf)
     assert texts(out) == want and out.columns == docs.columns and want != {i: x or "" for i, x in t.items()}
 
 
+def test_a_passage_of_51_words_is_cut_and_its_document_stays(spark, sf):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passage = prose(51)
+    rows = [(i, f"{prose(80)} {passage} {prose(70)}" if i < 4 else prose(150), "en", "s", 1) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = texts(corpus_pipeline.substring_dedup(spark, docs, sf))
+    assert len(out) == 12 and all((passage not in out[i]) == (i < 4) for i in range(12) if i < 4) and all(out[i] == rows[i][1] for i in range(4, 12))
+
+
 def test_run_packs_what_the_stages_kept(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
