@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridflow.llm import jaccard, langid, lines, packing, queries, suffix
-from gridflow.llm.common import shared_path
+from gridflow.llm.common import remove, shared_path, write
 
 
 def _as_documents(d: DataFrame, like: DataFrame) -> DataFrame:
@@ -32,8 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 400-byte strings that start anywhere else go, and parts of characters at the cuts."""
-    return _as_documents(suffix.cut_repeats(docs, 400, prefix="__", text_out=True), docs)
+    """Bytes of strings as long as a passage of 50 words that start anywhere else go, and parts of characters at the cuts."""
+    return _as_documents(suffix.cut_repeats(docs, queries.PASSAGE_BYTES, prefix="__", text_out=True), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +50,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to the documents of ``sf_dir``, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = shared_path(spark, f"pipeline-{name.replace(' ', '-')}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = write(stage(spark, docs, sf_dir), path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs

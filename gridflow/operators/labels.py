@@ -36,9 +36,10 @@ def is_queued(speed: str, free_speed: str):
 
 
 def queue_labels(targets: DataFrame, states: DataFrame, links: DataFrame, by: Sequence[str] = ("timestamp", "link_id")) -> DataFrame:
-    """targets with queue_true and eligible: a link is queued at 0.6 of its free speed or less; only links whose every detector is eligible are labelled."""
+    """targets with queue_true and eligible: a link is queued at 0.6 of its free speed or less; only links whose every detector is eligible are labelled; links must be unique, within their panel if ``by`` holds panel."""
     means = link_conditions(states, by)
-    d = targets.join(means, list(by), "left").join(links.select("link_id", "free_speed_kmh"), "link_id", "left")
+    link = [*(["panel"] if "panel" in by and "panel" in links.columns else []), "link_id"]
+    d = join_unique(targets.join(means, list(by), "left"), links.select(*link, "free_speed_kmh"), link)
     return d.select(*targets.columns, F.when(F.col("all_eligible"), is_queued("mean_speed", "free_speed_kmh")).otherwise(0).alias("queue_true"), F.coalesce("all_eligible", F.lit(False)).alias("eligible"))
 
 

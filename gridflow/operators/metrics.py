@@ -21,7 +21,7 @@ def at_least_zero(c: Column) -> Column:
 
 
 def checked_lanes(c: Column) -> Column:
-    return F.when(c.isNull() | (c <= 0), F.raise_error(F.lit("missing or invalid lane counts")).cast("double")).otherwise(c)
+    return F.when(c.isNull() | (c <= 0), F.raise_error(F.lit("a link has no positive number of lanes")).cast("double")).otherwise(c)
 
 
 def state_rmse(d: DataFrame, by: Sequence[str], speed=("speed_kmh_pred", "speed_kmh"), flow=("flow_vph_pred", "flow_vph"), lanes: str = "lanes") -> DataFrame:
@@ -50,7 +50,9 @@ def fd_component(d: DataFrame, by: Sequence[str] = (), regime: str = "mask_regim
         wave = (cap / per) / F.greatest(kj / per - kc / per, F.lit(1e-9))
         return F.when(k / per <= kc / per, free * (k / per)).otherwise(wave * F.greatest(kj / per - k / per, F.lit(0.0)))
 
-    # a missing number must not shrink a sum: nulls raise as NaN would spread
+    # a missing number must not shrink a sum
+    missing = q.isNull() | v.isNull()
+    q = F.when(missing, F.raise_error(F.lit("a predicted speed or flow is null")).cast("double")).otherwise(q)
     one = F.lit(1.0)
     parts = d.groupBy(*by, regime).agg(
         F.sum(F.abs(q / lanes - expected(lanes))).alias("lane_off"), F.sum(F.abs(q / lanes)).alias("lane_all"),
@@ -64,10 +66,20 @@ def fd_component(d: DataFrame, by: Sequence[str] = (), regime: str = "mask_regim
     )
 
 
-def window_iou(d: DataFrame, by: Sequence[str], truth: str = "queue_true", pred: str = "queue_pred", eligible: str = "eligible") -> DataFrame:
-    """Overlap of queued cells among eligible rows, for all windows in one aggregate; 1 where neither has any."""
+def window_iou(d: DataFrame, by: Sequence[str], truth: str = "queue_true", pred: str = "queue_pred", eligible: str = "eligible", strict: bool = False) -> DataFrame:
+    """Overlap of queued cells among eligible rows, for all windows in one aggregate; 1 where neither has any.
+
+    A window without eligible rows has no row here; with ``strict`` it raises.
+    """
     t, p = F.col(truth) == 1, F.col(pred) == 1
-    g = d.where(F.col(eligible).cast("boolean")).groupBy(*by).agg(F.count("*").alias("n"), F.sum((t & p).cast("long")).alias("both"), F.sum((t | p).cast("long")).alias("either"))
+    rows = d.where(F.col(eligible).cast("boolean"))
+    if strict:
+        e = F.coalesce(F.col(eligible).cast("boolean"), F.lit(False))
+        t, p, rows = t & e, p & e, d.withColumn(eligible, e)
+        g = rows.groupBy(*by).agg(F.sum(F.col(eligible).cast("long")).alias("n"), F.sum((t & p).cast("long")).alias("both"), F.sum((t | p).cast("long")).alias("either"))
+        none = F.raise_error(F.concat(F.lit("no eligible cell in "), F.concat_ws(", ", *[F.col(k).cast("string") for k in by]))).cast("long")
+        return g.select(*by, F.when(F.col("n") == 0, none).otherwise(F.col("n")).alias("n"), F.when(F.col("either") == 0, 1.0).otherwise(F.col("both") / F.col("either")).alias("queue_proxy_iou"))
+    g = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum((t & p).cast("long")).alias("both"), F.sum((t | p).cast("long")).alias("either"))
     return g.select(*by, "n", F.when(F.col("either") == 0, 1.0).otherwise(F.col("both") / F.col("either")).alias("queue_proxy_iou"))
 
 
@@ -76,18 +88,33 @@ def relative_l1(a: Column, b: Column) -> Column:
     return F.sum(F.abs(a - b)) / F.greatest(F.sum(b), F.lit(1e-9))
 
 
+def network_keys(*tables: DataFrame) -> list[str]:
+    """``panel`` where all tables have it: ids of links and paths are unique within a panel only."""
+    return ["panel"] if all("panel" in t.columns for t in tables) else []
+
+
 def matvec(incidence: DataFrame, flows: DataFrame, by: Sequence[str] = (), flow: str = "path_flow", out: str = "modelled") -> DataFrame:
-    """Link totals of path flows: incidence rows joined by path and summed by link."""
-    return incidence.select("path_id", "link_id").distinct().join(flows, "path_id").groupBy(*by, "link_id").agg(F.sum(flow).alias(out))
+    """Link totals of path flows: distinct incidence rows joined by path and summed by link.
+
+    Where both tables have a column panel, paths meet links of their own panel
+    and totals are by panel as well.
+    """
+    panel = network_keys(incidence, flows)
+    pairs = incidence.select(*panel, "path_id", "link_id").distinct()
+    return pairs.join(flows, [*panel, "path_id"]).groupBy(*dict.fromkeys([*by, *panel]), "link_id").agg(F.sum(flow).alias(out))
 
 
 def odme_score(pred: DataFrame, counts: DataFrame, prior: DataFrame, incidence: DataFrame, truth: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Count fit and prior movement of path flows; with ``truth`` the weighted synthetic score.
 
     pred (by, path_id, destination_zone, path_flow), counts (by, link_id,
-    count), prior and truth (by, path_id, path_flow). All matching is by key.
+    count), prior and truth (by, path_id, path_flow). All matching is by key;
+    with several panels ``by`` holds panel, which no table may lack then.
     """
     by, key = list(by), [*by, "path_id"]
+    for t in (pred, counts, prior, incidence) if truth is None else (pred, counts, prior, incidence, truth):
+        if "panel" in t.columns and "panel" not in by:
+            raise ValueError("tables with a column panel are scored by panel")
     p = pred.join(prior.select(*key, F.col("path_flow").alias("prior")), key)
     links = counts.join(matvec(incidence, pred.select(*key, "path_flow"), by), [*by, "link_id"], "left")
     fit = links.groupBy(*by).agg(at_least_zero(1 - relative_l1(F.coalesce("modelled", F.lit(0.0)), F.col("count"))).alias("odme_link_score_diagnostic"))
@@ -139,12 +166,12 @@ def hierarchical_mean(d: DataFrame, levels: Sequence[Sequence[str]] = (("case_id
     missing = F.lit(False)
     for k in levels[0]:
         missing = missing | F.col(k).isNull()
-    long = long.withColumn("value", F.when(missing, F.raise_error(F.concat(F.lit("missing group key for "), F.col("metric"))).cast("double")).otherwise(F.col("value")))
+    long = long.withColumn("value", F.when(missing, F.raise_error(F.concat(F.lit("a level of the hierarchy is null for "), F.col("metric"))).cast("double")).otherwise(F.col("value")))
     extra = {m: [k for k in ks if k not in levels[0]] for m, ks in first_levels.items() if m in metrics}
     names = sorted({k for ks in extra.values() for k in ks})
     if names:
         # other metrics skip the finer level: each of their rows is a group of its own
-        own = [F.when(F.col("metric").isin([m for m, ks in extra.items() if k in ks]), F.when(F.col(k).isNull(), F.raise_error(F.concat(F.lit("missing group key for "), F.col("metric"))).cast("string")).otherwise(F.col(k).cast("string"))).alias(k) for k in names]
+        own = [F.when(F.col("metric").isin([m for m, ks in extra.items() if k in ks]), F.when(F.col(k).isNull(), F.raise_error(F.concat(F.lit("a level of the hierarchy is null for "), F.col("metric"))).cast("string")).otherwise(F.col(k).cast("string"))).alias(k) for k in names]
         long = long.select(*levels[0], "metric", "value", *own)
         fine, plain = long.where(F.col("metric").isin(*extra)), long.where(~F.col("metric").isin(*extra)).select(*levels[0], "metric", "value")
         long = fine.groupBy("metric", *levels[0], *names).agg(F.avg("value").alias("value")).select(*levels[0], "metric", "value").unionByName(plain)
@@ -168,6 +195,11 @@ def lwr_conservation(d: DataFrame, by: Sequence[str], order: str, hours: float)
     return r.groupBy(*by).agg(at_least_zero(1 - F.sum(F.abs("r")) / F.greatest(F.sum(F.abs("change")), F.lit(1e-9))).alias("lwr_conservation_score"))
 
 
-def overall_score(state: float, queue: float, physics: float, odme: float) -> float:
-    """Extension: the documented weights of the four tasks."""
-    return 0.35 * state + 0.30 * queue + 0.15 * physics + 0.20 * odme
+OVERALL_WEIGHTS = {"state": 0.35, "queue": 0.30, "physics": 0.15, "odme": 0.20}
+
+
+def overall_score(scores: dict[str, float]) -> float:
+    """Extension: the documented weights of the four tasks; a missing or further task raises."""
+    if set(scores) != set(OVERALL_WEIGHTS):
+        raise ValueError(f"scores must be those of {sorted(OVERALL_WEIGHTS)}")
+    return sum(w * scores[k] for k, w in OVERALL_WEIGHTS.items())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridflow.functions import normal
-from gridflow.operators.metrics import matvec
+from gridflow.operators.metrics import matvec, network_keys
 
 LOG_SIGMA, COUNT_NOISE, REGULARISATION = 0.35, 0.03, 0.05
 
@@ -19,35 +19,41 @@ def synthetic_scenarios(prior: DataFrame, incidence: DataFrame, cases: int, seed
     """(truth, counts) of ``cases`` scenarios: prior flows times log-normal factors, and noisy link counts of them.
 
     The random numbers follow from the seed, scenario and key, so every
-    partitioning and every retry gives the same scenarios.
+    partitioning and every retry gives the same scenarios. Panels, where both
+    tables name them, are networks of their own.
     """
+    panel = network_keys(prior, incidence)
+    own = [F.col(k) for k in panel]
     flows = prior.withColumn("scenario", F.explode(F.sequence(F.lit(1), F.lit(cases)))) if cases > 0 else prior.withColumn("scenario", F.lit(1)).where(F.lit(False))
-    truth = flows.withColumn("path_flow", F.col("path_flow") * F.exp(F.lit(log_sigma) * normal(F.lit(seed), F.col("scenario"), F.col("path_id"))))
-    clean = matvec(incidence, truth.select("scenario", "path_id", "path_flow"), ["scenario"], out="count")
-    counts = clean.withColumn("count", F.greatest(F.lit(0.0), F.col("count") * (1 + F.lit(noise) * normal(F.lit(seed + 1), F.col("scenario"), F.col("link_id")))))
+    truth = flows.withColumn("path_flow", F.col("path_flow") * F.exp(F.lit(log_sigma) * normal(F.lit(seed), F.col("scenario"), *own, F.col("path_id"))))
+    clean = matvec(incidence, truth.select(*panel, "scenario", "path_id", "path_flow"), ["scenario"], out="count")
+    counts = clean.withColumn("count", F.greatest(F.lit(0.0), F.col("count") * (1 + F.lit(noise) * normal(F.lit(seed + 1), F.col("scenario"), *own, F.col("link_id")))))
     return truth, counts
 
 
 def solve(a: np.ndarray, c: np.ndarray, b: np.ndarray, weight: float, tol: float = 1e-10, most: int = 20_000) -> np.ndarray:
     """min |A f - c|^2 + weight |f - b|^2 over f >= 0: an active-set method on the strictly convex normal equations.
 
-    Raises RuntimeError if the optimality conditions aren't met in the end.
+    Only the columns of the free paths are ever squared, so memory follows the
+    paths in use and not all candidates. Raises RuntimeError if the optimality
+    conditions aren't met in the end.
     """
     if weight <= 0:
         raise ValueError("the regularisation must be positive")
     n = len(b)
-    h, g = a.T @ a + weight * np.eye(n), a.T @ c + weight * b
+    g = a.T @ c + weight * b
     free = np.zeros(n, bool)
     f = np.zeros(n)
     slack = tol * max(1.0, float(np.abs(g).max(initial=0)))
     for _ in range(most):
-        gain = np.where(free, -np.inf, g - h @ f)
+        gain = np.where(free, -np.inf, a.T @ (c - a @ f) + weight * (b - f))
         if not n or gain.max() <= slack:
             return f
         free[int(gain.argmax())] = True
         while True:
             want = np.zeros(n)
-            want[free] = np.linalg.solve(h[np.ix_(free, free)], g[free])
+            x = a[:, free]
+            want[free] = np.linalg.solve(x.T @ x + weight * np.eye(x.shape[1]), g[free])
             low = free & (want <= 0)
             if not low.any():
                 f = want
@@ -63,11 +69,15 @@ def estimate_flows(prior: DataFrame, counts: DataFrame, incidence: DataFrame, by
     """(by, path_id, path_flow): one bounded least-squares problem for each group, a network's candidate paths.
 
     A group is one scenario of one network, whose size is that of the network
-    and doesn't grow with time or panels; groups are solved in parallel.
+    and doesn't grow with time or panels; groups are solved in parallel. Where
+    incidence names panels, so must ``by``.
     """
     by = list(by)
-    pairs = incidence.select("path_id", "link_id").distinct().groupBy("path_id").agg(F.collect_list("link_id").alias("links"))
-    p = prior.select(*by, "path_id", "path_flow").join(pairs, "path_id", "left")
+    panel = [k for k in network_keys(prior, incidence) if k in by]
+    if "panel" in incidence.columns and not panel:
+        raise ValueError("an incidence of panels needs path flows by panel")
+    pairs = incidence.select(*panel, "path_id", "link_id").distinct().groupBy(*panel, "path_id").agg(F.collect_list("link_id").alias("links"))
+    p = prior.select(*by, "path_id", "path_flow").join(pairs, [*panel, "path_id"], "left")
     rows = p.select(*by, F.struct("path_id", "path_flow", "links").alias("path"), F.lit(None).cast("struct<link_id:string,count:double>").alias("measured"))
     more = counts.select(*by, F.lit(None).cast(rows.schema["path"].dataType).alias("path"), F.struct(F.col("link_id").cast("string").alias("link_id"), F.col("count").cast("double").alias("count")).alias("measured"))
     kinds = dict((f.name, f.dataType) for f in prior.schema.fields)

@@ -27,16 +27,24 @@ def backward_fill(column: str, by: Sequence[str], order: str) -> Column:
     return F.first(column, ignorenulls=True).over(Window.partitionBy(*by).orderBy(order).rowsBetween(0, Window.unboundedFollowing))
 
 
-def interpolate(df: DataFrame, column: str, by: Sequence[str], order: str, out: str) -> DataFrame:
-    """Linear interpolation by row position between known neighbours; the ends take the nearest known value."""
+def interpolate(df: DataFrame, column: str | Sequence[str], by: Sequence[str], order: str, out: str | Sequence[str]) -> DataFrame:
+    """Linear interpolation by row position between known neighbours; the ends take the nearest known value.
+
+    Several columns share one sort of the series.
+    """
+    columns, outs = ([column], [out]) if isinstance(column, str) else (list(column), list(out))
     w = Window.partitionBy(*by).orderBy(order)
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    known = F.when(F.col(column).isNotNull(), F.col("__i"))
     d = df.withColumn("__i", F.row_number().over(w))
-    d = d.withColumns({"__a": F.last(column, True).over(back), "__b": F.first(column, True).over(ahead), "__ia": F.last(known, True).over(back), "__ib": F.first(known, True).over(ahead)})
-    line = F.col("__a") + (F.col("__b") - F.col("__a")) * (F.col("__i") - F.col("__ia")) / (F.col("__ib") - F.col("__ia"))
-    value = F.when(F.col("__a").isNull(), F.col("__b")).when(F.col("__b").isNull() | (F.col("__ia") == F.col("__ib")), F.col("__a")).otherwise(line)
-    return d.withColumn(out, value).drop("__i", "__a", "__b", "__ia", "__ib")
+    frames, values, helpers = {}, {}, ["__i"]
+    for n, (c, name) in enumerate(zip(columns, outs, strict=True)):
+        va, vb, ia, ib = (f"__{k}{n}" for k in ("a", "b", "ia", "ib"))
+        known = F.when(F.col(c).isNotNull(), F.col("__i"))
+        frames |= {va: F.last(c, True).over(back), vb: F.first(c, True).over(ahead), ia: F.last(known, True).over(back), ib: F.first(known, True).over(ahead)}
+        line = F.col(va) + (F.col(vb) - F.col(va)) * (F.col("__i") - F.col(ia)) / (F.col(ib) - F.col(ia))
+        values[name] = F.when(F.col(va).isNull(), F.col(vb)).when(F.col(vb).isNull() | (F.col(ia) == F.col(ib)), F.col(va)).otherwise(line)
+        helpers += [va, vb, ia, ib]
+    return d.withColumns(frames).withColumns(values).drop(*helpers)
 
 
 def history_frame(by: Sequence[str], order: str, steps: int = 12):

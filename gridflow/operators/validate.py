@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridflow.functions import any_null, is_finite
+from gridflow.operators.metrics import network_keys
 from gridflow.sources.schemas import KEYS, VALUES
 
 SUBMISSION_VALUES = ("speed_kmh", "flow_vph", "queue_pred", "path_flow")
@@ -110,8 +111,13 @@ def partition_answers(answers: DataFrame, templates: DataFrame, keys: Sequence[s
 
 
 def incidence_violations(incidence: DataFrame, paths: DataFrame, counts: DataFrame) -> DataFrame:
-    """(violation, n): repeated path ids, incidence of unknown paths, counted links without incidence."""
-    dup = paths.groupBy("path_id").count().where("count > 1").agg(F.count("*").alias("n")).select(F.lit("duplicate_path").alias("violation"), "n")
-    unknown = incidence.select("path_id").distinct().join(paths.select("path_id"), "path_id", "left_anti").agg(F.count("*").alias("n")).select(F.lit("unknown_path").alias("violation"), "n")
-    bare = counts.select("link_id").distinct().join(incidence.select("link_id"), "link_id", "left_anti").agg(F.count("*").alias("n")).select(F.lit("link_without_path").alias("violation"), "n")
+    """(violation, n): repeated path ids, incidence of unknown paths, counted links without incidence.
+
+    Ids are those of one network; where all tables name panels, of each panel.
+    """
+    panel = network_keys(incidence, paths, counts)
+    path, link = [*panel, "path_id"], [*panel, "link_id"]
+    dup = paths.groupBy(*path).count().where("count > 1").agg(F.count("*").alias("n")).select(F.lit("duplicate_path").alias("violation"), "n")
+    unknown = incidence.select(*path).distinct().join(paths.select(*path), path, "left_anti").agg(F.count("*").alias("n")).select(F.lit("unknown_path").alias("violation"), "n")
+    bare = counts.select(*link).distinct().join(incidence.select(*link), link, "left_anti").agg(F.count("*").alias("n")).select(F.lit("link_without_path").alias("violation"), "n")
     return dup.unionByName(unknown).unionByName(bare)

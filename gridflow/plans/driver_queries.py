@@ -351,35 +351,37 @@ def weekly_profile_fallback(spark, d):
 
 _HIST = f"""{_E}, h AS (SELECT user_id AS window_id, date_trunc('day', ts) AS day, event_type AS link_id, value, k FROM e),
 l AS (SELECT * FROM (SELECT *, max(day) OVER (PARTITION BY window_id) AS m FROM h) WHERE day = m),
-p AS (SELECT window_id, link_id, coalesce(bool_or(k >= 75 AND value <= 0.6 * 150), false) AS q FROM l GROUP BY ALL)"""
+p AS (SELECT window_id, link_id, coalesce(bool_or(k >= 75 AND value <= 0.6 * (150 - 50 * (window_id % 2))), false) AS q FROM l GROUP BY ALL)"""
 
 
 @query(f"WITH {_HIST} SELECT t.window_id, t.link_id, CAST(coalesce(q, false) AS BIGINT) AS queue_pred FROM (SELECT DISTINCT window_id, link_id FROM h) t LEFT JOIN p ON t.window_id = p.window_id AND t.link_id = p.link_id")
 def queue_persistence(spark, d):
-    h = events(spark, d).select(F.col("user_id").alias("window_id"), F.date_trunc("day", "ts").alias("timestamp"), F.col("event_type").alias("link_id"), F.col("value").alias("speed_kmh"), F.col("k").alias("pct_observed"))
-    links = h.select("link_id").distinct().withColumn("free_speed_kmh", F.lit(150.0))
+    """Two panels whose links share their ids and differ in free speed."""
+    panel = (F.col("user_id") % 2).alias("panel")
+    h = events(spark, d).select(panel, F.col("user_id").alias("window_id"), F.date_trunc("day", "ts").alias("timestamp"), F.col("event_type").alias("link_id"), F.col("value").alias("speed_kmh"), F.col("k").alias("pct_observed"))
+    links = h.select("panel", "link_id").distinct().withColumn("free_speed_kmh", 150.0 - 50 * F.col("panel"))
     return predict.queue_persistence(h, h.select("window_id", "link_id").distinct(), links)
 
 
 # --- domain ------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_E} SELECT DISTINCT event_id, user_id, value FROM e WHERE event_id % 3 = 0 AND k >= 75 AND value IS NOT NULL")
+@query(f"WITH {_E} SELECT event_id, user_id, value FROM e WHERE k >= 75 AND value IS NOT NULL")
 def state_answers(spark, d):
     e = events(spark, d)
     s = e.select("event_id", F.col("value").alias("speed_kmh"), F.col("value").alias("flow_vph"), F.col("k").alias("pct_observed"))
-    return labels.state_answers(e.where("event_id % 3 = 0").select("event_id", "user_id"), s, ["event_id"]).select("event_id", "user_id", F.col("speed_kmh").alias("value"))
+    return labels.state_answers(e.select("event_id", "user_id"), s, ["event_id"]).select("event_id", "user_id", F.col("speed_kmh").alias("value"))
 
 
-_LABEL = f"""{_E}, s AS (SELECT date_trunc('day', ts) AS day, event_type AS link_id, avg(value) AS v, bool_and(coalesce(k >= 2 AND value IS NOT NULL, false)) AS ok FROM e WHERE user_id < 20 GROUP BY ALL),
-f AS (SELECT event_type AS link_id, 1.5 * avg(value) AS free FROM e GROUP BY ALL), t AS (SELECT DISTINCT date_trunc('day', ts) AS day, event_type AS link_id FROM e)"""
+_LABEL = f"""{_E}, s AS (SELECT date_trunc('day', ts) AS day, user_id AS link_id, avg(value) AS v, bool_and(coalesce(k >= 20 AND value IS NOT NULL, false)) AS ok FROM e GROUP BY ALL),
+f AS (SELECT user_id AS link_id, 1.5 * avg(value) AS free FROM e GROUP BY ALL)"""
 
 
-@query(f"WITH {_LABEL} SELECT strftime(t.day, '%Y-%m-%d') AS day, t.link_id, CAST(CASE WHEN ok AND v <= 0.6 * free THEN 1 ELSE 0 END AS INTEGER) AS queue_true, coalesce(ok, false) AS eligible FROM t LEFT JOIN s USING (day, link_id) LEFT JOIN f USING (link_id)")
+@query(f"WITH {_LABEL} SELECT strftime(day, '%Y-%m-%d') AS day, link_id, CAST(CASE WHEN ok AND v <= 0.6 * free THEN 1 ELSE 0 END AS INTEGER) AS queue_true, ok AS eligible FROM s LEFT JOIN f USING (link_id)")
 def queue_labels(spark, d):
-    e = events(spark, d).withColumns({"timestamp": F.date_trunc("day", "ts"), "link_id": F.col("event_type")})
-    # 75 % coverage scaled to this table's share of rows
-    states = e.where("user_id < 20").select("timestamp", "link_id", F.col("value").alias("speed_kmh"), F.when(F.col("k") >= 2, 100).otherwise(0).alias("pct_observed"))
+    """A link is a user here; a day's events are its detectors, of whose intervals enough was seen where k is 20 or more."""
+    e = events(spark, d).withColumns({"timestamp": F.date_trunc("day", "ts"), "link_id": F.col("user_id")})
+    states = e.select("timestamp", "link_id", F.col("value").alias("speed_kmh"), F.when(F.col("k") >= 20, 100).otherwise(0).alias("pct_observed"))
     links = e.groupBy("link_id").agg((1.5 * F.avg("value")).alias("free_speed_kmh"))
     out = labels.queue_labels(e.select("timestamp", "link_id").distinct(), states, links)
     return out.select(F.date_format("timestamp", "yyyy-MM-dd").alias("day"), "link_id", "queue_true", "eligible")
@@ -415,62 +417,78 @@ def window_iou(spark, d):
     return metrics.window_iou(e, ["window_id", "condition"]).withColumn("queue_proxy_iou", r(F.col("queue_proxy_iou")))
 
 
-_INC = "i AS (SELECT DISTINCT l_orderkey AS path_id, l_partkey AS link_id FROM lineitem), pf AS (SELECT o_orderkey AS path_id, o_totalprice AS path_flow, o_totalprice * (1 + (o_custkey % 7 - 3) / 20.0) AS prior, o_totalprice * (1 + (o_orderkey % 5 - 2) / 20.0) AS t, o_orderpriority AS zone FROM orders)"
+#: Two panels whose paths and links share their ids: an order is a path of either, its parts are links of the panel of their supplier.
+_INC = "i AS (SELECT DISTINCT CAST(l_suppkey % 2 AS BIGINT) AS panel, l_orderkey AS path_id, l_partkey AS link_id FROM lineitem), pf AS (SELECT p.panel, o_orderkey AS path_id, o_totalprice * (1 + p.panel) AS path_flow, o_totalprice * (1 + p.panel) * (1 + (o_custkey % 7 - 3) / 20.0) AS prior, o_totalprice * (1 + p.panel) * (1 + (o_orderkey % 5 - 2) / 20.0) AS t, o_orderpriority AS zone FROM orders, (SELECT CAST(0 AS BIGINT) AS panel UNION ALL SELECT 1) p)"
 
 
 def path_tables(spark, d):
-    o = read(spark, d, "orders")
-    inc = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("path_id"), F.col("l_partkey").alias("link_id"))
-    flow = F.col("o_totalprice")
-    return inc, o.select(F.col("o_orderkey").alias("path_id"), F.col("o_orderpriority").alias("destination_zone"), flow.alias("path_flow"), (flow * (1 + (F.col("o_custkey") % 7 - 3) / 20.0)).alias("prior"), (flow * (1 + (F.col("o_orderkey") % 5 - 2) / 20.0)).alias("true"))
+    o = read(spark, d, "orders").withColumn("panel", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+    inc = read(spark, d, "lineitem").select((F.col("l_suppkey") % 2).cast("long").alias("panel"), F.col("l_orderkey").alias("path_id"), F.col("l_partkey").alias("link_id"))
+    flow = F.col("o_totalprice") * (1 + F.col("panel"))
+    return inc, o.select("panel", F.col("o_orderkey").alias("path_id"), F.col("o_orderpriority").alias("destination_zone"), flow.alias("path_flow"), (flow * (1 + (F.col("o_custkey") % 7 - 3) / 20.0)).alias("prior"), (flow * (1 + (F.col("o_orderkey") % 5 - 2) / 20.0)).alias("true"))
 
 
-@query(f"WITH {_INC} SELECT link_id, round(sum(path_flow), 2) AS modelled FROM i JOIN pf USING (path_id) GROUP BY link_id")
+@query(f"WITH {_INC} SELECT panel, link_id, round(sum(path_flow), 2) AS modelled FROM i JOIN pf USING (panel, path_id) GROUP BY ALL")
 def incidence_matvec(spark, d):
     inc, p = path_tables(spark, d)
-    return metrics.matvec(inc, p.select("path_id", "path_flow")).withColumn("modelled", r(F.col("modelled"), 2))
+    return metrics.matvec(inc, p.select("panel", "path_id", "path_flow")).withColumn("modelled", r(F.col("modelled"), 2))
 
 
-@query(f"WITH {_INC}, paths AS (SELECT l_orderkey AS path_id FROM lineitem WHERE l_linenumber <= 2) SELECT 'duplicate_path' AS violation, count(*) AS n FROM (SELECT path_id FROM paths GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT 'unknown_path', count(*) FROM (SELECT DISTINCT path_id FROM i WHERE path_id NOT IN (SELECT path_id FROM paths)) UNION ALL SELECT 'link_without_path', count(*) FROM (SELECT p_partkey AS link_id FROM part WHERE p_partkey NOT IN (SELECT link_id FROM i WHERE path_id % 9 = 0))")
+@query("""WITH i AS (SELECT l_suppkey % 2 AS panel, CASE WHEN l_linenumber = 7 THEN -l_orderkey ELSE l_orderkey END AS path_id, l_partkey AS link_id FROM lineitem), paths AS (SELECT l_suppkey % 2 AS panel, l_orderkey AS path_id FROM lineitem),
+c AS (SELECT p.panel, CASE WHEN p_partkey % 9 = 0 THEN -p_partkey ELSE p_partkey END AS link_id FROM part, (SELECT 0 AS panel UNION ALL SELECT 1) p)
+SELECT 'duplicate_path' AS violation, count(*) AS n FROM (SELECT panel, path_id FROM paths GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT 'unknown_path', count(*) FROM (SELECT DISTINCT panel, path_id FROM i WHERE NOT EXISTS (SELECT 1 FROM paths q WHERE q.panel = i.panel AND q.path_id = i.path_id))
+UNION ALL SELECT 'link_without_path', count(*) FROM c WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.panel = c.panel AND i.link_id = c.link_id)""")
 def incidence_checks(spark, d):
-    inc, _ = path_tables(spark, d)
-    paths = read(spark, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("path_id"))
-    all_ = validate.incidence_violations(inc, paths, spark.createDataFrame([], "link_id long")).where("violation <> 'link_without_path'")
-    bare = validate.incidence_violations(inc.where("path_id % 9 = 0"), paths, read(spark, d, "part").select(F.col("p_partkey").alias("link_id"))).where("violation = 'link_without_path'")
-    return all_.unionByName(bare)
+    """The whole incidence of two panels; faults are changed ids of paths and links."""
+    li, panel = read(spark, d, "lineitem"), (F.col("l_suppkey") % 2).alias("panel")
+    inc = li.select(panel, F.when(F.col("l_linenumber") == 7, -F.col("l_orderkey")).otherwise(F.col("l_orderkey")).alias("path_id"), F.col("l_partkey").alias("link_id"))
+    key = F.col("p_partkey")
+    counts = read(spark, d, "part").select(F.explode(F.array(F.lit(0), F.lit(1))).alias("panel"), F.when(key % 9 == 0, -key).otherwise(key).alias("link_id"))
+    return validate.incidence_violations(inc, li.select(panel, F.col("l_orderkey").alias("path_id")), counts)
 
 
-@query(f"WITH {_INC}, z AS (SELECT zone, sum(path_flow) AS p, sum(t) AS t FROM pf GROUP BY ALL) SELECT round(greatest(0, 1 - sum(abs(p / (SELECT sum(p) FROM z) - t / (SELECT sum(t) FROM z))) / 2), 6) AS attraction_score FROM z")
+_ZONES = "z AS (SELECT panel, zone, sum(path_flow) AS p, sum(t) AS t FROM pf GROUP BY ALL), zs AS (SELECT panel, sum(p) AS ps, sum(t) AS ts FROM z GROUP BY ALL), s AS (SELECT panel, greatest(0, 1 - sum(abs(p / ps - t / ts)) / 2) AS att FROM z JOIN zs USING (panel) GROUP BY ALL)"
+
+
+@query(f"WITH {_INC}, {_ZONES} SELECT panel, round(att, 6) AS attraction_score FROM s")
 def attraction_share(spark, d):
-    return metrics.attraction_score(path_tables(spark, d)[1]).select(r(F.col("attraction_score")).alias("attraction_score"))
+    return metrics.attraction_score(path_tables(spark, d)[1], ["panel"]).select("panel", r(F.col("attraction_score")).alias("attraction_score"))
 
 
-@query(f"""WITH {_INC}, c AS (SELECT link_id, count(*) * 120000.0 AS c FROM i GROUP BY ALL), mv AS (SELECT link_id, sum(path_flow) AS m FROM i JOIN pf USING (path_id) GROUP BY ALL),
-a AS (SELECT greatest(0, 1 - sum(abs(coalesce(m, 0) - c)) / greatest(sum(c), 1e-9)) AS link FROM c LEFT JOIN mv USING (link_id)),
-b AS (SELECT sum(abs(path_flow - prior)) / greatest(sum(prior), 1e-9) AS move, greatest(0, 1 - sum(abs(path_flow - t)) / greatest(sum(t), 1e-9)) AS path, exp(-abs(sum(abs(path_flow - prior)) / greatest(sum(abs(t - prior)), 1e-9) - 1)) AS dev FROM pf),
-z AS (SELECT zone, sum(path_flow) AS p, sum(t) AS t FROM pf GROUP BY ALL), s AS (SELECT greatest(0, 1 - sum(abs(p / (SELECT sum(p) FROM z) - t / (SELECT sum(t) FROM z))) / 2) AS att FROM z)
-SELECT round(link, 6) AS odme_link_score_diagnostic, round(move, 6) AS odme_prior_relative_movement, round(0.45 * path + 0.25 * link + 0.15 * dev + 0.15 * att, 6) AS odme_synthetic_score FROM a, b, s""")
+@query(f"""WITH {_INC}, c AS (SELECT panel, link_id, count(*) * 120000.0 AS c FROM i GROUP BY ALL), mv AS (SELECT panel, link_id, sum(path_flow) AS m FROM i JOIN pf USING (panel, path_id) GROUP BY ALL),
+a AS (SELECT panel, greatest(0, 1 - sum(abs(coalesce(m, 0) - c)) / greatest(sum(c), 1e-9)) AS link FROM c LEFT JOIN mv USING (panel, link_id) GROUP BY panel),
+b AS (SELECT panel, sum(abs(path_flow - prior)) / greatest(sum(prior), 1e-9) AS move, greatest(0, 1 - sum(abs(path_flow - t)) / greatest(sum(t), 1e-9)) AS path, exp(-abs(sum(abs(path_flow - prior)) / greatest(sum(abs(t - prior)), 1e-9) - 1)) AS dev FROM pf GROUP BY panel),
+{_ZONES}
+SELECT panel, round(link, 6) AS odme_link_score_diagnostic, round(move, 6) AS odme_prior_relative_movement, round(0.45 * path + 0.25 * link + 0.15 * dev + 0.15 * att, 6) AS odme_synthetic_score FROM a JOIN b USING (panel) JOIN s USING (panel)""")
 def odme_score(spark, d):
     inc, p = path_tables(spark, d)
-    counts = inc.distinct().groupBy("link_id").agg((F.count("*") * 120000.0).alias("count"))
-    out = metrics.odme_score(p.select("path_id", "destination_zone", "path_flow"), counts, p.select("path_id", F.col("prior").alias("path_flow")), inc, p.select("path_id", F.col("true").alias("path_flow")))
-    return out.select(*[r(F.col(c)).alias(c) for c in out.columns])
+    counts = inc.distinct().groupBy("panel", "link_id").agg((F.count("*") * 120000.0).alias("count"))
+    of = lambda c: p.select("panel", "path_id", F.col(c).alias("path_flow"))
+    out = metrics.odme_score(p.select("panel", "path_id", "destination_zone", "path_flow"), counts, of("prior"), inc, of("true"), ["panel"])
+    return out.select("panel", *[r(F.col(c)).alias(c) for c in out.columns if c != "panel"])
 
 
 @query()
 def bounded_least_squares(spark, d):
     """Path flows of all orders against their counts: a network is one customer's orders, so it stays small at any size."""
+    return bounded_problem(spark, d)[0].withColumn("path_flow", r(F.col("path_flow"), 3))
+
+
+def bounded_problem(spark, d):
+    """(estimate, prior, counts, incidence) of the query."""
     prior = read(spark, d, "orders").select(F.col("o_custkey").alias("panel"), F.col("o_orderkey").alias("path_id"), F.col("o_totalprice").alias("path_flow"))
-    inc = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("path_id"), F.col("l_partkey").alias("link_id")).distinct()
-    counts = prior.join(inc, "path_id").groupBy("panel", "link_id").agg((F.sum("path_flow") * 0.9).alias("count"))
-    return odme.estimate_flows(prior, counts, inc, ["panel"]).withColumn("path_flow", r(F.col("path_flow"), 3))
+    inc = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("path_id"), F.col("l_partkey").alias("link_id")).distinct().join(prior.select("panel", "path_id"), "path_id")
+    counts = prior.join(inc, ["panel", "path_id"]).groupBy("panel", "link_id").agg((F.sum("path_flow") * 0.9).alias("count"))
+    return odme.estimate_flows(prior, counts, inc, ["panel"]), prior, counts, inc
 
 
 @query()
 def synthetic_flows(spark, d):
+    """Sums of three scenarios of two panels that share their ids."""
     inc, p = path_tables(spark, d)
-    truth, counts = odme.synthetic_scenarios(p.select("path_id", "path_flow"), inc, 2, 69420)
-    return truth.groupBy("scenario").agg(F.count("*").alias("n"), r(F.sum("path_flow"), 2).alias("total")).join(counts.groupBy("scenario").agg(F.count("*").alias("links"), r(F.sum("count"), 2).alias("counted")), "scenario")
+    truth, counts = odme.synthetic_scenarios(p.select("panel", "path_id", "path_flow"), inc, 3, 69420)
+    flows = truth.groupBy("panel", "scenario").agg(F.count("*").alias("n"), r(F.sum("path_flow"), 2).alias("total"))
+    return flows.join(counts.groupBy("panel", "scenario").agg(F.count("*").alias("links"), r(F.sum("count"), 2).alias("counted")), ["panel", "scenario"])
 
 
 # --- contracts ---------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ import json
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
-from datetime import date, datetime, timedelta
+from datetime import date, datetime, timedelta, timezone
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,15 +36,22 @@ class Interval:
         return Interval(a, b) if a < b else None
 
 
+def _field(value: dict, name: str, kind: type, where: str):
+    """A required field of a configuration file, of its type."""
+    if not isinstance(value, dict) or not isinstance(value.get(name), kind):
+        raise ValueError(f"{where}: {name} is missing or no {kind.__name__}")
+    return value[name]
+
+
 class Release:
     """A release folder on any Hadoop file system, listed once on the driver."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, check: bool = True):
         self.spark, self.path = spark, path.rstrip("/")
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if CORRIDORS not in self.files:
+        if check and CORRIDORS not in self.files:
             raise ValueError(f"{path} is no release folder: {CORRIDORS} is missing")
 
     @cached_property
@@ -74,13 +81,27 @@ class Release:
 
     @cached_property
     def families(self) -> dict[str, str]:
-        return {p["corridor_id"]: p["family_id"] for p in self.json(CORRIDORS)["panels"]}
+        """Family by panel; a panel that lacks one of the two names, or is named twice, raises."""
+        rows = _field(self.json(CORRIDORS), "panels", list, CORRIDORS)
+        pairs = [(_field(p, "corridor_id", str, CORRIDORS), _field(p, "family_id", str, CORRIDORS)) for p in rows]
+        if len(dict(pairs)) != len(pairs):
+            raise ValueError(f"{CORRIDORS} names a panel twice")
+        return dict(pairs)
 
     @cached_property
     def calendar(self) -> dict[str, Interval]:
-        c = self.json(CALENDAR)["synthetic_calendar"]
-        read = lambda x: datetime.fromisoformat(x.replace("Z", "+00:00")).replace(tzinfo=None)
-        return {s: Interval(read(c[s]["start"]), read(c[s]["end_exclusive"])) for s in SPLITS if s in c}
+        """Interval by split; all splits must be there, in order and apart."""
+        c = _field(self.json(CALENDAR), "synthetic_calendar", dict, CALENDAR)
+
+        def read(split: str, name: str) -> datetime:
+            at = datetime.fromisoformat(_field(_field(c, split, dict, CALENDAR), name, str, CALENDAR).replace("Z", "+00:00"))
+            return at.astimezone(timezone.utc).replace(tzinfo=None) if at.tzinfo else at
+
+        out = {s: Interval(read(s, "start"), read(s, "end_exclusive")) for s in SPLITS}
+        ends = [x for i in out.values() for x in (i.start, i.end)]
+        if any(i.start >= i.end for i in out.values()) or ends != sorted(ends):
+            raise ValueError(f"{CALENDAR}: splits are empty, out of order or overlap")
+        return out
 
     def has(self, name: str) -> bool:
         """Whether there is such a file, or a folder of part files under that name."""
@@ -90,12 +111,17 @@ class Release:
     def _names(self) -> set[str]:
         return set(self.files)
 
-    def csv(self, names: Sequence[str] | str, table: str, start=None, end=None) -> DataFrame:
-        """CSV files by the table's schema: identifiers are text, empty cells null; optionally rows with start <= timestamp < end."""
-        names = [names] if isinstance(names, str) else list(names)
-        schema = SCHEMAS[table]
-        d = self.spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]").csv([f"{self.path}/{n}" for n in names])
-        if "timestamp" in d.columns and (start or end):
+    def csv(self, name: str, table: str, start=None, end=None) -> DataFrame:
+        """A CSV file by its header: the table's columns, wherever they stand, in their types, further ones as text; optionally rows with start <= timestamp < end.
+
+        Identifiers are text and empty cells null; a missing column raises.
+        """
+        raw = self.spark.read.option("header", True).csv(f"{self.path}/{name}")
+        known = {f.name: f.dataType for f in SCHEMAS[table].fields}
+        if absent := [c for c in known if c not in raw.columns]:
+            raise ValueError(f"{name} has no columns {absent}")
+        d = raw.select(*[F.col(c).cast(t).alias(c) for c, t in known.items()], *[c for c in raw.columns if c not in known])
+        if "timestamp" in known and (start or end):
             d = d.where(half_open(F.col("timestamp"), start, end))
         return d
 
@@ -122,35 +148,30 @@ class Release:
         """Daily files of one kind with panel and split, rows with start <= timestamp < end.
 
         Files whose name tells a day outside the interval aren't opened; the
-        rest are one scan for each panel and split.
+        rest are one scan, whose rows get panel and split from their file's
+        path. Nothing runs here; ``require_rows`` tells an empty table.
         """
         a, b = to_datetime(start), to_datetime(end)
         schema = SCHEMAS[kind]
-        parts = []
-        for p in panels:
-            for s in splits:
-                prefix = f"corridors/{p}/{s}/{kind}/"
-                chosen = []
-                for f in self.files:
-                    if not f.startswith(prefix) or not f.endswith(".parquet"):
-                        continue
-                    if m := _DAY.search(f):
-                        day = datetime(*map(int, m.groups()))
-                        if day + timedelta(days=1) <= a or day >= b:
-                            continue
-                    chosen.append(f"{self.path}/{f}")
-                if chosen:
-                    d = self.spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).parquet(*chosen)
-                    d = d.select(*[(F.col(f.name).cast(f.dataType) if f.name in d.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
-                    parts.append(d.where(half_open(F.col("timestamp"), F.lit(a).cast("timestamp"), F.lit(b).cast("timestamp"))).withColumns({"panel": F.lit(p), "split": F.lit(s)}))
-        if not parts:
+        chosen = []
+        for f in self.files:
+            m = re.fullmatch(f"corridors/([^/]+)/([^/]+)/{kind}/.*\\.parquet", f)
+            if not m or m[1] not in panels or m[2] not in splits:
+                continue
+            if day := _DAY.search(f):
+                first = datetime(*map(int, day.groups()))
+                if first + timedelta(days=1) <= a or first >= b:
+                    continue
+            chosen.append(f"{self.path}/{f}")
+        if not chosen:
             if allow_empty:
                 return empty_table(self.spark, schema).withColumns({"panel": F.lit(""), "split": F.lit("")})
             raise ValueError(f"no {kind} files for {list(panels)}/{list(splits)} in [{start}, {end})")
-        out = reduce(DataFrame.unionByName, parts)
-        if not allow_empty and out.isEmpty():
-            raise ValueError(f"no {kind} rows for {list(panels)}/{list(splits)} in [{start}, {end})")
-        return out
+        d = self.spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).parquet(*chosen)
+        place = lambda i: F.regexp_extract(F.col("_metadata.file_path"), f"/corridors/([^/]+)/([^/]+)/{kind}/", i)
+        columns = [(F.col(f.name).cast(f.dataType) if f.name in d.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields]
+        rows = d.select(*columns, place(1).alias("panel"), place(2).alias("split"))
+        return rows.where(half_open(F.col("timestamp"), F.lit(a).cast("timestamp"), F.lit(b).cast("timestamp")))
 
     def split_parts(self, start, end) -> dict[str, Interval]:
         """Each split's part of [start, end)."""
@@ -166,7 +187,14 @@ class Release:
                 if self.has(f):
                     d = self.parquet(f, table) if f.endswith(".parquet") else self.csv(f, table)
                     parts.append(d.withColumns({"panel": F.lit(p), "split": F.lit(s)}))
-        return reduce(DataFrame.unionByName, parts) if parts else None
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
+
+
+def require_rows(d: DataFrame, what: str) -> DataFrame:
+    """``d``, after a look for one row; an empty table raises."""
+    if d.isEmpty():
+        raise ValueError(f"no rows of {what}")
+    return d
 
 
 def check_dates(history_start: date, history_end: date, prediction_start: date, prediction_end: date, calendar: dict[str, Interval]) -> None:
@@ -202,12 +230,16 @@ def load_slice(release: Release, panels: Sequence[str], history_start, history_e
     splits = list(release.split_parts(history_start, prediction_end))
     a, b = F.lit(to_datetime(history_start)), F.lit(to_datetime(prediction_end))
     net = release.network(panels)
+    for p in panels:
+        for x in splits:
+            if release.has(WINDOW_INDEX.format(panel=p, split=x)) and not release.has(WINDOW_HISTORY.format(panel=p, split=x)):
+                raise ValueError(f"{p}/{x} has forecast windows without their history")
     index = release.table(panels, splits, WINDOW_INDEX, "queue_window_index")
     history = release.table(panels, splits, WINDOW_HISTORY, "queue_history")
     if index is not None:
         index = index.where((F.col("forecast_start") >= a) & (F.col("forecast_start") < b))
         if history is not None:
-            history = history.join(index.select("window_id").distinct(), "window_id", "left_semi")
+            history = history.join(index.select("panel", "split", "window_id").distinct(), ["panel", "split", "window_id"], "left_semi")
     return ReleaseSlice(
         net,
         release.states(panels, splits, "mainline_states_masked", history_start, prediction_end, allow_empty=True),
