@@ -251,7 +251,8 @@ def score_state(truth: DataFrame, pred: DataFrame, network: DataFrame) -> DataFr
     rows = metrics.state_score(d, ["panel", "split", "mask_regime"])
     known = F.col("mask_regime").isin(*MASK_REGIMES)
     any_known = F.max(known.cast("int")).over(Window.partitionBy("panel", "split"))
-    rows = rows.withColumn("n", F.when(any_known == 1, F.col("n")).otherwise(F.raise_error(F.concat(F.lit("no regime to score in "), F.col("panel"), F.lit(", "), F.col("split"))).cast("long"))).where(known)
+    none = F.raise_error(F.concat(F.lit("no regime to score in "), F.col("panel"), F.lit(", "), F.col("split"))).cast("boolean")
+    rows = rows.withColumn("__known", any_known).where(F.when(F.col("__known") == 1, known).otherwise(none)).drop("__known")
     fd = metrics.fd_component(join_unique(pred, network, ["panel", "link_id"], "inner"), ["panel", "split"])
     return rows.unionByName(fd, allowMissingColumns=True)
 

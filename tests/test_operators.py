@@ -170,6 +170,11 @@ def test_submission_is_assembled_and_published_once(spark, tmp_path):
     assert got == [("1", "state", 90.0, 2000.0, 0.0, 0.0), ("2", "queue", 0.0, 0.0, 1.0, 0.0), ("3", "odme", 0.0, 0.0, 0.0, 25.0)]
     with pytest.raises(validate.ContractError, match="exists"):
         submit.write_submission(t, p, out)
+    backwards = t.orderBy(F.desc("submission_id")).coalesce(1)
+    submit.write_submission(backwards, p, out + ".csv")
+    submit.write_submission(backwards, p, out + ".parts", one_file=False)
+    assert [x.split(",")[0] for x in open(out + ".csv").read().split()] == ["submission_id", "3", "2", "1"]
+    assert [r["submission_id"] for r in spark.read.option("header", True).csv(out + ".parts").collect()] == ["3", "2", "1"]
 
 
 @pytest.mark.parametrize("damage", ["missing", "extra", "twice", "zone", "negative", "text"])
