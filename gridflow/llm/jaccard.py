@@ -14,8 +14,9 @@ from .common import LETTER, U64, Tables, as_long, batch_of, components, identity
 #: The counts that order n-grams by rarity: a fixed table of 2**SKETCH_BITS cells, whatever the input.
 SKETCH_BITS = 20
 SKETCH_CHUNK = 1 << 15
-#: Words of 64 bits of a set's parity bitmap: each n-gram flips one bit, so two sets differ in no fewer n-grams than bits.
-WORDS = 16
+#: Least words of 64 bits of a set's parity bitmap, where each n-gram flips one bit, so that two sets differ in no fewer
+#: n-grams than bits; larger sets have as many bits as n-grams or more. BRIEF words are a bitmap folded for a first look.
+WORDS, BRIEF = 16, 4
 #: How often the suffix filter halves two sets, and how many sets a task remembers whose prefixes it has already given.
 SUFFIX_DEPTH, REMEMBERED = 6, 1 << 20
 ROW = ["r1", "r2"]
@@ -71,8 +72,8 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
-SETS = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("more", pa.int64()), ("bits", pa.list_(pa.int64())), ("chunk", pa.int32()), ("counts", pa.binary())])
-_SETS = "r1 long, r2 long, id long, n int, node long, more long, bits array<long>, chunk int, counts binary"
+SETS = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("more", pa.int64()), ("bits", pa.list_(pa.int64())), ("brief", pa.list_(pa.int64())), ("chunk", pa.int32()), ("counts", pa.binary())])
+_SETS = "r1 long, r2 long, id long, n int, node long, more long, bits array<long>, brief array<long>, chunk int, counts binary"
 
 
 def set_hashes(h: np.ndarray, text: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,6 +88,20 @@ def set_hashes(h: np.ndarray, text: np.ndarray, rows: int) -> tuple[np.ndarray,
     return n, node, more
 
 
+def parity(h: np.ndarray, text: np.ndarray, n: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
+    """Parity bitmaps of each text's set, of a power of two of words with room for its n-grams, and folded to BRIEF words."""
+    words = np.full(len(n), WORDS, np.int64)
+    while (small := words * 64 < n).any():
+        words[small] *= 2
+    at = np.concatenate([[0], np.cumsum(words)])
+    place = at[text] * 64 + (h.astype(np.int64) & (words[text] * 64 - 1))
+    bits = np.packbits((np.bincount(place, minlength=int(at[-1]) * 64) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+    # words come in whole runs of BRIEF: a fold is the exclusive or of all runs
+    brief = np.bitwise_xor.reduceat(bits.reshape(-1, BRIEF), at[:-1] // BRIEF, axis=0).ravel() if len(n) else bits
+    lists = lambda x, offsets: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(x))
+    return lists(bits, at), lists(brief, np.arange(len(n) + 1) * BRIEF)
+
+
 def renamed(node: np.ndarray, more: np.ndarray, clashes: dict[tuple[int, int], int]) -> np.ndarray:
     """``node``, but for sets that share it with another one: those get a number of their own."""
     if clashes:
@@ -109,15 +124,13 @@ def _describe(size: int):
             text, h = shingle_sets(data, o, size)
             np.add.at(sketch, (h >> U64(64 - SKETCH_BITS)).astype(np.int64), 1)
             n, node, more = set_hashes(h, text, b.num_rows)
-            flips = np.bincount(text * (64 * WORDS) + (h & U64(64 * WORDS - 1)).astype(np.int64), minlength=b.num_rows * 64 * WORDS)
-            words = np.packbits((flips & 1).astype(np.uint8), bitorder="little").view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, WORDS, dtype=np.int32)), pa.array(words))
-            yield batch_of(SETS, b.column(0), b.column(1), b.column(2), n.astype(np.int32), pa.array(as_long(node), mask=n == 0), as_long(more), lists, pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary()))
+            bits, brief = parity(h, text, n)
+            yield batch_of(SETS, b.column(0), b.column(1), b.column(2), n.astype(np.int32), pa.array(as_long(node), mask=n == 0), as_long(more), bits, brief, pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary()))
         for k in range(0, len(sketch), SKETCH_CHUNK):
             part = sketch[k : k + SKETCH_CHUNK]
             if part.any():
                 none = [None]
-                yield batch_of(SETS, none, none, none, none, none, none, none, [k // SKETCH_CHUNK], [zstandard.ZstdCompressor(level=1).compress(part.astype("<i8").tobytes())])
+                yield batch_of(SETS, none, none, none, none, none, none, none, none, [k // SKETCH_CHUNK], [zstandard.ZstdCompressor(level=1).compress(part.astype("<i8").tobytes())])
 
     return run
 
@@ -229,13 +242,28 @@ def _can_link(n: str, m: str, p: str, q: str, percent: int):
     return (100 * F.least(n_, m_) >= percent * F.greatest(n_, m_)) & ((100 + percent) * most >= percent * (n_ + m_))
 
 
-def _few_differences(x: str, y: str, n: str, m: str, percent: int):
-    """Bits that differ in the parity bitmaps of whole sets bound the overlap from above."""
-    differ = sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, WORDS)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
+def _enough(differ, n: str, m: str, percent: int):
+    """Whether sets that differ in ``differ`` n-grams or more can reach the share."""
     total = F.col(n) + F.col(m)
     return (100 + percent) * (total - differ) >= 2 * percent * total
 
 
+def _few_differences(x: str, y: str, n: str, m: str, percent: int):
+    """Bits that differ in the parity bitmaps of whole sets bound the overlap from above.
+
+    Sets whose sizes pass the length filter have as many words or twice as
+    many; the larger bitmap folds to the size of the smaller.
+    """
+    size = F.least(F.size(x), F.size(y))
+
+    def fold(c: str):
+        half = F.zip_with(F.slice(F.col(c), F.lit(1), size), F.slice(F.col(c), size + 1, size), lambda a, b: a.bitwiseXOR(b))
+        return F.when(F.size(c) > size, half).otherwise(F.col(c))
+
+    differ = F.aggregate(F.zip_with(fold(x), fold(y), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    return _enough(differ, n, m, percent)
+
+
 def suffix_difference(x: np.ndarray, y: np.ndarray, most: int, depth: int = SUFFIX_DEPTH) -> int:
     """The suffix filter: a bound from below on how many elements are in only one of two sorted sets.
 
@@ -321,29 +349,36 @@ def similar(docs: DataFrame, tables: Tables, percent: int = 80, size: int = 5, t
     tokens = base.select("text").mapInArrow(_prefixes(size, percent, sketch, clashes), "token long, node long, n int, pos int")
     shared = tables.keep(tokens.repartition("token").sortWithinPartitions("token", "pos", "node").mapInArrow(_stars, "token long, node long, n int, pos int, hub long, hub_n int, hub_pos int"))
 
-    wanted = tables.keep(shared.select("node").distinct().join(sets.groupBy("node").agg(*(F.first(x).alias(x) for x in ("r1", "r2", "n")), F.first("bits").alias("bits")), "node"))
-    texts = tables.keep(base.select(*ROW, "text").join(wanted, ROW).dropDuplicates(["node"]).select("node", "n", "bits", "text"))
+    wanted = tables.keep(shared.select("node").distinct().join(sets.groupBy("node").agg(*(F.first(x).alias(x) for x in ("r1", "r2", "n")), *(F.first(x).alias(x) for x in ("bits", "brief"))), "node"))
+    # keys alone are a small table, so that whole texts needn't move to meet them unless there are very many
+    places = tables.keep(wanted.select("node", *ROW))
+    texts = tables.keep(base.select(*ROW, "text").join(places, ROW).select("node", "text"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left = texts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("pa"))
-        right = texts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("pb"))
-        fit = pairs.join(left, "a").join(right, "b").where(_few_differences("pa", "pb", "na", "nb", percent)).select("a", "b")
-        full = fit.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        return tables.keep(full.select("a", "b", "ta", "tb").mapInArrow(_verify(size, percent), "a long, b long"))
+        left = wanted.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("pa"))
+        right = wanted.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("pb"))
+        fit = tables.keep(pairs.join(left, "a").join(right, "b").where(_few_differences("pa", "pb", "na", "nb", percent)).select("a", "b"))
+        # only texts of pairs that are left move; a repeated row would give its node's text twice
+        at = lambda end: texts.join(fit.select(F.col(end).alias("node")).distinct(), "node", "left_semi").dropDuplicates(["node"])
+        full = fit.join(at("b").select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(at("a").select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+        out = tables.keep(full.select("a", "b", "ta", "tb").mapInArrow(_verify(size, percent), "a long, b long"))
+        tables.drop(fit)
+        return out
 
     star = tables.keep(shared.where((F.col("node") != F.col("hub")) & _can_link("n", "hub_n", "pos", "hub_pos", percent)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
     first = verify(star)
     known = components(first, tables)
     at = shared.select("token", "node", "n", "pos").join(known, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     open_ = at.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("token")
-    at = tables.keep(at.join(open_, "token").join(wanted.select("node", "bits"), "node"))
-    tables.drop(shared, wanted)
-    other = at.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("c").alias("d"), F.col("bits").alias("bits_b"))
-    pairs = at.withColumnRenamed("node", "a").join(other, "token").where((F.col("c") < F.col("d")) & _can_link("n", "m", "pos", "q", percent) & _few_differences("bits", "bits_b", "n", "m", percent))
+    at = tables.keep(at.join(open_, "token").join(wanted.select("node", *[F.col("brief")[i].alias(f"b{i}") for i in range(BRIEF)]), "node"))
+    tables.drop(shared)
+    other = at.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("c").alias("d"), *[F.col(f"b{i}").alias(f"d{i}") for i in range(BRIEF)])
+    differ = sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"d{i}"))) for i in range(1, BRIEF)), F.bit_count(F.col("b0").bitwiseXOR(F.col("d0"))))
+    pairs = at.withColumnRenamed("node", "a").join(other, "token").where((F.col("c") < F.col("d")) & _can_link("n", "m", "pos", "q", percent) & _enough(differ, "n", "m", percent))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     links = first.union(verify(pairs))
-    tables.drop(texts, at, star)
+    tables.drop(texts, at, star, wanted, places)
     return members, links
 
 

@@ -105,3 +105,22 @@ def test_very_long_texts_clashing_columns_and_exact_copies(spark):
     assert got == dict.fromkeys(range(5), 0)
     one = jaccard.one_of_each(d)
     assert one.columns == d.columns and [r["doc_id"] for r in one.collect()] == [0]
+
+
+def test_parity_bitmaps_bound_the_difference(spark):
+    r = np.random.default_rng(9)
+    rows = []
+    for n in (1, 300, 1100, 4000, 70_000):
+        x = r.integers(0, 2**63, n, dtype=np.uint64)
+        for share in (0.0, 0.05, 0.3, 1.0):
+            y = np.concatenate([x[: n - int(share * n)], r.integers(0, 2**63, int(share * n * 1.1), dtype=np.uint64)])
+            one, two = np.unique(x), np.unique(y)
+            h, text = np.concatenate([one, two]), np.repeat([0, 1], [len(one), len(two)])
+            bits, brief = jaccard.parity(h, text, np.array([len(one), len(two)]))
+            same = len(np.intersect1d(one, two))
+            both = brief.to_pylist()
+            assert sum((a ^ b).bit_count() if a ^ b >= 0 else 64 - (~(a ^ b)).bit_count() for a, b in zip(*both)) <= len(np.setxor1d(one, two))
+            rows.append((bits[0].as_py(), bits[1].as_py(), len(one), len(two), 100 * same >= 80 * (len(one) + len(two) - same), share))
+    d = spark.createDataFrame(rows, "x array<long>, y array<long>, n int, m int, links boolean, share double")
+    got = d.select("links", "share", "n", jaccard._few_differences("x", "y", "n", "m", 80).alias("may")).collect()
+    assert all(g["may"] for g in got if g["links"]) and not any(g["may"] for g in got if g["share"] == 1.0)
