@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import slices, spare, utf8
 
 #: Languages scripts aside, the letters that make a text readable: any Unicode letter.
 LETTERS = r"\p{L}"
@@ -130,11 +130,14 @@ def fit_sample(docs: DataFrame, where, most: int, text_col: str = "text", lang_c
     from pyspark.sql import Window
 
     d = docs.where(where & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.lit(11), id_col).alias("h"))
-    langs = d.groupBy("lang").count().count()
-    share = max(1, most // max(1, langs))
+    # a row for each language
+    sizes = d.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    if not sizes:
+        return [], []
+    share = max(1, most // len(sizes))
     # the hash's share of its range bounds what is sorted; twice the share leaves room for chance
-    sizes = d.groupBy("lang").count().withColumnRenamed("count", "n")
-    near = d.join(F.broadcast(sizes), "lang").where((F.col("h") / 2.0**64 + 0.5) * F.col("n") <= 2.0 * share)
+    known = docs.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in sizes], "lang string, n long")
+    near = d.join(F.broadcast(known), "lang").where((F.col("h") / 2.0**64 + 0.5) * F.col("n") <= 2.0 * share)
     top = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= share)
     rows = top.select("text", "lang", "h").collect()
     rows.sort(key=lambda r: (r["h"], r["lang"], r["text"]))
@@ -146,7 +149,8 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", prefi
 
     Null texts and texts without a letter are ``und`` with score 0 and
     rejected; other texts get the likeliest language, and ``rejected`` says
-    whether its calibrated probability is below the model's threshold.
+    whether its calibrated probability is below the model's threshold. Columns
+    of ``docs`` named like the three are replaced, all others kept.
     """
     bits = int(model.logits.shape[0]).bit_length() - 1
     names = docs.columns
@@ -156,7 +160,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", prefi
     from pyspark.sql import types as T
 
     full = T.StructType([*schema.fields, T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType()), T.StructField(added[2], T.BooleanType())])
-    letters = f"{prefix}__has_letter"
+    letters = spare([*names, *added], "__has_letter")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_col):

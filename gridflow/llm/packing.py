@@ -138,18 +138,21 @@ def _pack_partition(capacity: int, most: int, base: int):
     return run
 
 
+#: Pieces that a partition gets, about: each partition's bound is rounded up, so that small ones would waste a bin each.
+BLOCK = 32_768
+
+
 def pack_pieces(items: DataFrame, capacity: int, most: int = 400_000, rounds: int = 2) -> DataFrame:
     """Pack pieces into bins of ``capacity``: the columns of ``pieces`` with sequence_id, offset.
 
-    Pieces spread over partitions by a hash. Each partition packs blocks of up
-    to ``most`` pieces by best-fit decreasing and compares its bin count with
+    Pieces spread over partitions of about BLOCK pieces by a hash. Each
+    partition packs blocks of up to ``most`` pieces by best-fit decreasing and compares its bin count with
     ``lower_bound``. A block that meets its bound keeps all bins but its
     emptiest; one with a gap keeps its full bins. The pieces of the other bins
     meet in fewer partitions and are packed again, ``rounds`` times; what the
     last round makes is final. Nothing is ever gathered on the driver.
     """
     spark = items.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # full pieces and the others are read apart; making them once costs a few bytes a document
     tables = Tables(spark, "packing")
     items = tables.keep(items)
@@ -158,6 +161,7 @@ def pack_pieces(items: DataFrame, capacity: int, most: int = 400_000, rounds: in
     # a piece that fills its sequence needs no packing; its number is that of its written row, as repeated rows share a key, in a range of its own
     done = [full.select(*PIECES.names, F.monotonically_increasing_id().bitwiseOR(F.lit(-(2**63))).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     rest, base = items.where(F.col("length") < capacity), 0
+    width = max(1, -(-rest.count() // BLOCK))
     for k in range(rounds + 1):
         parts = max(1, width >> (3 * k))
         packed = rest.repartition(parts, key).mapInArrow(_pack_partition(capacity, most, base), _DDL)

@@ -193,7 +193,8 @@ class Pieces:
 
     def decode(self, ids: bytes) -> str:
         """Text of ids: pieces joined, byte pieces as UTF-8 (bad bytes as U+FFFD), the dummy prefix dropped."""
-        out = b"".join(self.texts[i] for i in np.frombuffer(ids, "<u4").tolist()).decode("utf-8", "replace")
+        n, unknown = len(self.texts), " ⁇ ".encode()
+        out = b"".join(self.texts[i] if i < n else unknown for i in np.frombuffer(ids, "<u4").tolist()).decode("utf-8", "replace")
         return out[1:] if self.model.dummy_prefix and out.startswith(" ") else out
 
 
@@ -237,7 +238,12 @@ def agreed(encoded: DataFrame) -> DataFrame:
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
-    """(doc_id, ids, text) from rows of ids; other columns are dropped."""
+    """(doc_id, ids, text) from rows of ids; other columns are dropped.
+
+    Ids beyond the model decode like its unknown piece, null ids to null. The
+    model file is opened by the path on each worker, as a tokenizer is installed
+    there like a library.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -416,7 +416,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def sorted_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) in ascending doc_id order over the partitions; equal ids by text, so the order is defined."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = ["doc_id", F.xxhash64("text")]
+    return d.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def id_digests(ids: DataFrame) -> DataFrame:

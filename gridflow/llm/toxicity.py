@@ -173,7 +173,10 @@ _MEMORY: dict[int, Lengths] = {}
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with a toxicity score from 0 to 1; null, empty and blank texts score as texts without a telling window."""
+    """``docs`` with a toxicity score from 0 to 1, which replaces a column of that name.
+
+    Null, empty and blank texts score as texts without a telling window.
+    """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
     d = docs.drop(name)

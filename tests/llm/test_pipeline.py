@@ -113,3 +113,20 @@ def test_run_packs_what_the_stages_kept(spark, sf):
 def test_empty_documents(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/documents.parquet").where("false").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_rows_long_texts_near_copies_and_clashing_columns(spark, tmp_path):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7)))
+    prose_ = lambda n: " ".join(word() for _ in range(n))
+    near = prose_(150).split()
+    long = prose_(260_000)
+    rows = [(i, prose_(90), "en", "s", 1, 5) for i in range(30)]
+    rows += [(40, " ".join(near), "en", "s", 1, 5), (41, " ".join([*near[:70], "xyzzy", *near[71:]]), "en", "s", 1, 5)]
+    rows += [(50, long, "en", "s", 1, 5), (51, "repeated row " + rows[0][1][:40], "en", "s", 1, 5), (51, "repeated row " + rows[0][1][:40], "en", "s", 1, 5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __r1 int")
+    d.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {x["doc_id"] for x in got} == {*range(30), 40, 50, 51}
+    assert sum(x["length"] for x in got if x["doc_id"] == 50) == len(library_ids(long)) + 1
+    assert sum(x["doc_id"] == 51 for x in got) == 1

@@ -73,3 +73,22 @@ def test_differences_are_neither_mended_nor_passed_over(spark):
     assert spm.agreed(d).select("ids").count() == 2 and len(spm.agreed(d).collect()) == 2
     with pytest.raises(Exception, match="other ids, by doc_id 3"):
         spm.agreed(d.unionByName(spark.createDataFrame([(3, b"", 1)], d.schema))).collect()
+
+
+def test_repeated_rows_very_long_texts_and_unknown_ids(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    long = "some words and nümbers 12345 " * 60_000
+    d = spark.createDataFrame([(1, long), (2, "twice"), (2, "twice")], "doc_id long, text string")
+    got = spm.decode(spm.agreed(spm.encode(d, PATH)), PATH).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 2, 2] and next(ids(r["ids"]) for r in got if r["doc_id"] == 1) == sp.encode(long)
+    bad = spark.createDataFrame([(1, np.array([4_000_000_000], "<u4").tobytes()), (2, None)], "doc_id long, ids binary")
+    assert {r["doc_id"]: r["text"] for r in spm.decode(bad, PATH).collect()} == {1: "⁇ ", 2: None}
+
+
+def test_a_broken_model_fails_the_query(spark, monkeypatch):
+    """A rebuilt tokenizer with other scores gives other ids, which the query doesn't return."""
+    p = spm.Pieces(PATH)
+    broken = spm.Pieces(PATH)
+    broken.tok = spm.build(spm.Model([(x[::-1] if k == spm.NORMAL else x, s, k) for x, s, k in p.model.pieces], p.model.kind, p.model.byte_fallback))
+    broken.encode(["whole sentences of words"])
+    assert broken.differences > 0 and p.encode(["whole sentences of words"]) and p.differences == 0

@@ -248,7 +248,8 @@ def test_repeated_long_rows_fill_sequences_of_their_own(spark):
         assert [o for o, _ in b] == np.cumsum([0, *(n for _, n in b)])[:-1].tolist() and sum(n for _, n in b) <= 64
 
 
-def test_blocks_that_meet_their_bound_keep_their_bins(spark):
+def test_blocks_that_meet_their_bound_keep_their_bins(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 100)
     items = spark.range(400).selectExpr("id as doc_id", "id as doc_key", "0 as piece", "0L as start", "6L as length", "0L as ids_crc32")
     rows = packing.pack_pieces(items, 10).collect()
     assert len({r["sequence_id"] for r in rows}) == 400
@@ -303,3 +304,67 @@ def test_toxic_sample_is_bounded_and_balanced(spark):
     texts, y = toxicity.fit_sample(docs, labels, langid.crc_mod("doc_id", 3) != 1, 40)
     assert len(texts) <= 40 and abs(sum(y) - 20) <= 1 and all(zlib.crc32(t[1:].encode()) % 3 != 1 and int(t[1:]) % 2 == v for t, v in zip(texts, y))
     assert toxicity.fit_sample(docs, labels.where(F.lit(False)), F.lit(True), 40) == ([], [])
+
+
+def long_text(n=1_600_000):
+    """Beyond one slice of any operator."""
+    words = prose(77, 4000)
+    return (words + " ") * (n // len(words) + 1)
+
+
+def test_token_files_of_repeated_ids_and_a_very_long_text(spark, tmp_path):
+    texts = [(5, "same id b"), (5, "same id a"), (5, "same id a"), (1, long_text()), (9, None)]
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    tokens.write_tokens(tokens.encode(tokens.sorted_docs(d), WORD, 1), str(tmp_path / "t"))
+    rows = sorted(tokens.read_tokens(spark, str(tmp_path / "t")).collect(), key=lambda r: r["start"])
+    got = [(r["doc_id"], np.frombuffer(r["ids"], "<u2").tolist()) for r in rows]
+    assert [i for i, _ in got] == [1, 5, 5, 5, 9] and got[0][1] == [*library_ids(texts[3][1]), 1]
+    assert sorted(x for i, x in got if i == 5) == sorted([*library_ids(t), 1] for i, t in texts if i == 5)
+    assert [r["start"] for r in rows] == np.cumsum([0, *(len(x) for _, x in got)])[:-1].tolist()
+
+
+@pytest.mark.parametrize("parts", [1, 64, 211])
+def test_the_bound_decides_in_many_partitions(spark, monkeypatch, parts):
+    sizes = np.random.default_rng(3).integers(1, 2048, 20_000)
+    monkeypatch.setattr(packing, "BLOCK", -(-len(sizes) // parts))
+    items = spark.createDataFrame([(i, i, 0, 0, int(s), 0) for i, s in enumerate(sizes)], "doc_id long, doc_key long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.pack_pieces(items, 2048).collect()
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for b in bins.values():
+        b.sort()
+        assert [o for o, _ in b] == np.cumsum([0, *(n for _, n in b)])[:-1].tolist() and sum(n for _, n in b) <= 2048
+    assert sorted(r["doc_id"] for r in rows) == list(range(len(sizes)))
+    bound = packing.lower_bound(np.bincount(sizes, minlength=2049), 2048)
+    # blocks keep their bins by bounds of their own: small ones hold more large pieces by chance, by about the square root
+    assert bound <= len(bins) <= (1 + 0.5 / (len(sizes) / parts) ** 0.5) * bound + parts + 1
+
+
+def test_packing_of_a_very_long_text(spark):
+    d = spark.createDataFrame([(1, long_text()), (1, long_text()), (2, "short")], "doc_id long, text string")
+    rows = packing.pack_pieces(packing.pieces(d, WORD, 2048, 0), 2048).collect()
+    ids = [*library_ids(long_text()), 0]
+    crcs = sorted((k, zlib.crc32(np.array(ids[s : s + 2048], "<u4").tobytes())) for k, s in enumerate(range(0, len(ids), 2048)))
+    assert sorted((r["piece"], r["ids_crc32"]) for r in rows if r["doc_id"] == 1) == sorted(crcs * 2)
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
+
+
+def test_language_of_long_and_repeated_texts_with_clashing_columns(spark):
+    m = langid.train(["foo bar baz", "zim zam zoom"] * 30, ["aa", "bb"] * 30)
+    d = spark.createDataFrame([(1, "foo bar " * 200_000, 1, 2, 3), (2, "zim zam", 1, 2, 3), (2, "zim zam", 1, 2, 3)], "doc_id long, text string, lang_pred int, SCORE int, __has_letter int")
+    got = langid.predict(d.drop("SCORE"), m)
+    assert got.columns == ["doc_id", "text", "__has_letter", "lang_pred", "score", "rejected"]
+    assert sorted((r["doc_id"], r["lang_pred"], r["__has_letter"]) for r in got.collect()) == [(1, "aa", 3), (2, "bb", 3), (2, "bb", 3)]
+    assert langid.fit_sample(d.withColumn("lang", d.doc_id.cast("string")).where("false"), langid.crc_mod("doc_id", 5) >= 0, 10) == ([], [])
+
+
+def test_toxicity_of_empty_tables_long_texts_and_repeated_labels(spark):
+    texts, y = ["fine words in a row"] * 40 + ["bad blargh snorf here"] * 20, [0] * 40 + [1] * 20
+    m = toxicity.train(texts, y)
+    d = spark.createDataFrame([(1, "fine " * 300_000 + "blargh snorf", 7), (2, "fine words", 7), (2, "fine words", 7)], "doc_id long, text string, score int")
+    got = toxicity.score(d, m)
+    assert got.columns == ["doc_id", "text", "score"] and [r["doc_id"] for r in got.collect()].count(2) == 2 and all(0 <= r["score"] <= 1 for r in got.collect())
+    assert toxicity.score(d.where("false"), m).count() == 0
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (2, 0)], "doc_id long, toxic int")
+    assert sorted(toxicity.fit_sample(d, labels, langid.crc_mod("doc_id", 3) >= 0, 10)[1]) == [0, 1]  # a label of 1 outweighs one of 0; repeated texts count once
