@@ -175,8 +175,10 @@ def hierarchical_mean(d: DataFrame, levels: Sequence[Sequence[str]] = (("case_id
         long = long.select(*levels[0], "metric", "value", *own)
         fine, plain = long.where(F.col("metric").isin(*extra)), long.where(~F.col("metric").isin(*extra)).select(*levels[0], "metric", "value")
         long = fine.groupBy("metric", *levels[0], *names).agg(F.avg("value").alias("value")).select(*levels[0], "metric", "value").unionByName(plain)
-    for keys in levels:
+    for i, keys in enumerate(levels):
         long = long.groupBy("metric", *keys).agg(F.avg("value").alias("value"))
+        if not i:  # a row for each panel and metric is left: further levels need no exchange
+            long = long.coalesce(1)
     if levels[-1]:
         long = long.groupBy("metric").agg(F.avg("value").alias("value"))
     return long.select("metric", "value")
