@@ -19,7 +19,9 @@ SPACE = "▁"
 #: Piece types and field numbers of the public model format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-MEMORY = 400_000
+MEMORY = 250_000
+#: Words that go to the library as one text, whose ids fall apart where a piece starts a word.
+TOGETHER = 16
 
 
 def wire(data: bytes) -> Iterator[tuple[int, object]]:
@@ -107,7 +109,7 @@ def build(m: Model):
     elif m.kind == BPE:
         usable = {p: (s, i) for i, (p, s, k) in enumerate(m.pieces) if k in (NORMAL, USER)}
         merges = sorted(((-s, i, a, p[: a]) for p, (s, i) in usable.items() for a in range(1, len(p)) if p[:a] in usable and p[a:] in usable), key=lambda x: x[:3])
-        tok = Tokenizer(models.BPE(vocab, [(left, m.pieces[i][0][a:]) for _, i, a, left in merges], unk_token=m.pieces[unknown][0], fuse_unk=True, byte_fallback=m.byte_fallback))
+        tok = Tokenizer(models.BPE(vocab, [(left, m.pieces[i][0][a:]) for _, i, a, left in merges], unk_token=m.pieces[unknown][0], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=0))
     else:
         raise ValueError(f"models of type {m.kind} aren't supported")
     steps = []
@@ -131,7 +133,8 @@ class Pieces:
 
     Where no piece reaches over the start of a word, a text's ids are those of
     its words, each with the spaces before it, and words are kept. Results that
-    differ from the sentencepiece library's are counted.
+    differ from the sentencepiece library's are counted, by the texts that went
+    to the library: TOGETHER words or one.
     """
 
     def __init__(self, path: str, threads: int = 2, verify: bool = True):
@@ -148,7 +151,8 @@ class Pieces:
         m = self.model
         self.by_words = not m.charsmap and not m.remove_extra and m.dummy_prefix and m.escape and not any(k == USER or re.search(f"[^{SPACE}]{SPACE}", p) for p, _, k in m.pieces if k in (NORMAL, USER))
         self.memory: dict[str, bytes] = {}
-        self.texts = [bytes([int(p[3:5], 16)]) if k == BYTE else (b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode()) for p, _, k in m.pieces]
+        self.starts = np.array([p.startswith(SPACE) for p, _, _ in m.pieces], bool)
+        self.texts = [bytes([int(p[3:5], 16)]) if k == BYTE else (b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode()) for p, _, k in m.pieces] + [" ⁇ ".encode()]
 
     def library(self, texts: list[str]) -> list[bytes]:
         ids = [e.ids if t else [] for e, t in zip(self.tok.encode_batch_fast(texts, add_special_tokens=False), texts, strict=True)]
@@ -157,6 +161,16 @@ class Pieces:
             self.differences += sum(a != b for a, b in zip(ids, want, strict=True))
         return [np.array(x, "<u4").tobytes() for x in ids]
 
+    def separate(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, encoded several at a time."""
+        raw = b"".join(self.library([" ".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]))
+        at = 4 * np.flatnonzero(self.starts[np.frombuffer(raw, "<u4")])
+        if not words:
+            return []
+        if len(at) != len(words):  # a model whose words don't all begin with a piece of their own
+            return self.library(words)
+        return [raw[i:j] for i, j in zip(at.tolist(), [*at[1:].tolist(), len(raw)], strict=True)]
+
     @staticmethod
     def words(text: str) -> list[str]:
         """Words without the space before them; further spaces stay in front, those at the end are a word of their own."""
@@ -181,7 +195,10 @@ class Pieces:
             self.memory.clear()
         # a lone space before nothing is a word too: the library drops a text of no characters
         new = list({w for ws in words for w in ws if w not in self.memory})
-        self.memory.update(zip(new, self.library([w if w else "" for w in new]), strict=True))
+        plain = [w for w in new if w and " " not in w and SPACE not in w]
+        self.memory.update(zip(plain, self.separate(plain), strict=True))
+        rest = [w for w in new if w not in self.memory]
+        self.memory.update(zip(rest, self.library(rest), strict=True))
         if "" in self.memory:
             self.memory[""] = np.array(self._bare_space(), "<u4").tobytes()
         get = self.memory.__getitem__
@@ -193,8 +210,9 @@ class Pieces:
 
     def decode(self, ids: bytes) -> str:
         """Text of ids: pieces joined, byte pieces as UTF-8 (bad bytes as U+FFFD), the dummy prefix dropped."""
-        n, unknown = len(self.texts), " ⁇ ".encode()
-        out = b"".join(self.texts[i] if i < n else unknown for i in np.frombuffer(ids, "<u4").tolist()).decode("utf-8", "replace")
+        number = np.frombuffer(ids, "<u4")
+        # ids beyond the model take the place behind its pieces, the unknown text
+        out = b"".join(map(self.texts.__getitem__, np.minimum(number, len(self.texts) - 1).tolist())).decode("utf-8", "replace")
         return out[1:] if self.model.dummy_prefix and out.startswith(" ") else out
 
 

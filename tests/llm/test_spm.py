@@ -68,7 +68,7 @@ def test_differences_are_neither_mended_nor_passed_over(spark):
 
     p, own = spm.Pieces(PATH), spm.Pieces(PATH, verify=False)
     p.verify = Other()
-    assert p.encode(["one text"]) == own.encode(["one text"]) and p.differences == 2
+    assert p.encode(["one text"]) == own.encode(["one text"]) and p.differences == 1  # both words went as one text
     d = spark.createDataFrame([(1, b"\x01\x00\x00\x00", 0), (2, b"", 0)], "doc_id long, ids binary, differences long")
     assert spm.agreed(d).select("ids").count() == 2 and len(spm.agreed(d).collect()) == 2
     with pytest.raises(Exception, match="other ids, by doc_id 3"):
@@ -92,3 +92,13 @@ def test_a_broken_model_fails_the_query(spark, monkeypatch):
     broken.tok = spm.build(spm.Model([(x[::-1] if k == spm.NORMAL else x, s, k) for x, s, k in p.model.pieces], p.model.kind, p.model.byte_fallback))
     broken.encode(["whole sentences of words"])
     assert broken.differences > 0 and p.encode(["whole sentences of words"]) and p.differences == 0
+
+
+def test_words_encoded_together_fall_apart_rightly():
+    p, sp = spm.Pieces(PATH, verify=False), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    r = np.random.default_rng(6)
+    letters = list("abcdefghéüß中🙂.,!\n\t0<>_") + [" ", "́", " "]
+    words = ["".join(r.choice(letters, r.integers(1, 14))) for _ in range(3000)]
+    assert [ids(x) for x in p.separate(words)] == [sp.encode(w) for w in words]
+    text = " ".join(words)
+    assert ids(p.encode([text])[0]) == sp.encode(text)
