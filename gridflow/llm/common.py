@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -118,7 +119,22 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (b[o[0] : o[-1]], o - o[0]) if len(o) else (b[:0], np.zeros(1, np.int64))
 
 
-def slices(batches: Iterable[pa.RecordBatch], name: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+@functools.cache
+def _trim():
+    """The C library's call that returns free memory, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda pad: 0
+
+
+def give_back() -> None:
+    """A worker that waits for its next task shouldn't hold what this one's batches took."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def slices(batches: Iterable[pa.RecordBatch], name: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``most`` bytes in column ``name`` (one row at least), so that work arrays stay small."""
     for batch in batches:
         if not batch.num_rows:
@@ -129,8 +145,7 @@ def slices(batches: Iterable[pa.RecordBatch], name: str, most: int = 1 << 20) ->
             j = max(i + 1, int(np.searchsorted(o, o[i] + most, "right")) - 1)
             yield batch.slice(i, j - i)
             i = j
-        # a worker that waits for its next task shouldn't hold what this one's batches took
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 @functools.lru_cache(4)

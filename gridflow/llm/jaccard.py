@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTER, U64, Tables, as_long, batch_of, components, identity, mix, prefix_hashes, slices, spare, span_hash, utf8
+from .common import LETTER, U64, Tables, as_long, batch_of, components, give_back, identity, mix, prefix_hashes, slices, spare, span_hash, utf8
 
 #: The counts that order n-grams by rarity: a fixed table of 2**SKETCH_BITS cells, whatever the input.
 SKETCH_BITS = 20
@@ -311,6 +311,7 @@ def _verify(size: int, percent: int):
                     a.append(x)
                     c.append(y)
             yield batch_of(LINK, a, c)
+            give_back()
 
     return run
 

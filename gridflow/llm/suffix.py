@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LETTER, U64, Tables, as_long, batch_of, identity, mix, prefix_hashes, runs, slices, spare, span_hash, utf8
+from .common import LETTER, U64, Tables, as_long, batch_of, give_back, identity, mix, prefix_hashes, runs, slices, spare, span_hash, utf8
 
 #: Length of the strings by whose hashes anchors are chosen, as a share of the repeat's length.
 ANCHOR_SHARE = 0.25
@@ -315,6 +315,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
             held.append(row)
     if held and (made := solve(held)):
         yield made
+    give_back()
 
 
 WINDOW = pa.schema([("w", pa.int64()), ("v", pa.int64()), ("r1", pa.int64()), ("r2", pa.int64()), ("at", pa.int32()), ("known", pa.bool_())])
