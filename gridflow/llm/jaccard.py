@@ -242,6 +242,16 @@ def _can_link(n: str, m: str, p: str, q: str, percent: int):
     return (100 * F.least(n_, m_) >= percent * F.greatest(n_, m_)) & ((100 + percent) * most >= percent * (n_ + m_))
 
 
+def _can_open(n: str, m: str, p: str, q: str, percent: int):
+    """Positional filter of the first shared n-gram, at places p and q: none before it is shared, so that either set must hold enough from it on.
+
+    Linked sets pass at the first n-gram that they share, so they may be ruled
+    out at all others. What it asks for is more than the length filter does.
+    """
+    n_, m_, p_, q_ = (F.col(x) for x in (n, m, p, q))
+    return (100 + percent) * F.least(n_ - p_, m_ - q_) >= percent * (n_ + m_)
+
+
 def _enough(differ, n: str, m: str, percent: int):
     """Whether sets that differ in ``differ`` n-grams or more can reach the share."""
     total = F.col(n) + F.col(m)
@@ -284,6 +294,22 @@ def suffix_difference(x: np.ndarray, y: np.ndarray, most: int, depth: int = SUFF
     return out + rest if out + rest > most else out + suffix_difference(*right, most - out, depth - 1)
 
 
+def _meet(at: DataFrame, percent: int) -> DataFrame:
+    """(a, b) for each n-gram that may be the first one shared by sets of different components, a being the smaller set or that of the smaller node.
+
+    ``at`` has (token, node, n, pos, c) and the brief bitmaps of n-grams in
+    prefixes. The first shared n-gram lies in the first ninth or so of the
+    smaller set (at a share of 80 %), so that only such rows meet the others of
+    their n-gram: sets that share a passage which is common, and so comes late
+    in all of them, don't meet by it.
+    """
+    small = at.where(_can_open("n", "n", "pos", "pos", percent)).withColumnRenamed("node", "a")
+    large = at.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("c").alias("d"), *[F.col(f"b{i}").alias(f"d{i}") for i in range(BRIEF)])
+    differ = sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"d{i}"))) for i in range(1, BRIEF)), F.bit_count(F.col("b0").bitwiseXOR(F.col("d0"))))
+    larger = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
+    return small.join(large, "token").where((F.col("c") != F.col("d")) & larger & _can_open("n", "m", "pos", "q", percent) & _enough(differ, "n", "m", percent)).select("a", "b")
+
+
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -328,9 +354,9 @@ def similar(docs: DataFrame, tables: Tables, percent: int = 80, size: int = 5, t
     sets that reach the threshold share an n-gram of their prefixes. Each
     n-gram's nodes are first compared with one hub, which joins groups of near
     copies by as many pairs as members; then nodes of the n-gram that are still
-    in different components are compared with each other. Lengths, places in
-    the prefix and parity bitmaps rule pairs out before the texts of each
-    remaining pair meet, once; the suffix filter then rules out more before
+    in different components are compared with each other, where it may be the
+    first one that they share. Lengths, places in the prefix and parity bitmaps
+    rule pairs out before the texts of each remaining pair meet, once; the suffix filter then rules out more before
     their sets are intersected.
     """
     spark: SparkSession = docs.sparkSession
@@ -370,13 +396,11 @@ def similar(docs: DataFrame, tables: Tables, percent: int = 80, size: int = 5, t
     first = verify(star)
     known = components(first, tables)
     at = shared.select("token", "node", "n", "pos").join(known, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    open_ = at.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("token")
+    # an n-gram that can't be the first one shared by its sets has nothing to find
+    open_ = at.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.bool_or(_can_open("n", "n", "pos", "pos", percent)).alias("opens")).where("c0 != c1 and opens").select("token")
     at = tables.keep(at.join(open_, "token").join(wanted.select("node", *[F.col("brief")[i].alias(f"b{i}") for i in range(BRIEF)]), "node"))
     tables.drop(shared)
-    other = at.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("c").alias("d"), *[F.col(f"b{i}").alias(f"d{i}") for i in range(BRIEF)])
-    differ = sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"d{i}"))) for i in range(1, BRIEF)), F.bit_count(F.col("b0").bitwiseXOR(F.col("d0"))))
-    pairs = at.withColumnRenamed("node", "a").join(other, "token").where((F.col("c") < F.col("d")) & _can_link("n", "m", "pos", "q", percent) & _enough(differ, "n", "m", percent))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = _meet(at, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     links = first.union(verify(pairs))
     tables.drop(texts, at, star, wanted, places)

@@ -124,3 +124,33 @@ def test_parity_bitmaps_bound_the_difference(spark):
     d = spark.createDataFrame(rows, "x array<long>, y array<long>, n int, m int, links boolean, share double")
     got = d.select("links", "share", "n", jaccard._few_differences("x", "y", "n", "m", 80).alias("may")).collect()
     assert all(g["may"] for g in got if g["links"]) and not any(g["may"] for g in got if g["share"] == 1.0)
+
+
+def prefix_rows(spark, found):
+    """The prefixes of sets of numbers, in the order of the numbers, as ``_meet`` takes them, each set a component of its own."""
+    rows = []
+    for node, x in enumerate(found):
+        h = common.mix(np.array(sorted(x), np.uint64))
+        brief = jaccard.parity(np.sort(h), np.zeros(len(h), np.int64), np.array([len(h)]))[1][0].as_py()
+        rows += [(int(t), node, len(x), i, node, *brief) for i, t in enumerate(sorted(x)[: int(jaccard.prefix_length(np.array([len(x)]), 80)[0])])]
+    return spark.createDataFrame(rows, "token long, node long, n int, pos int, c long, b0 long, b1 long, b2 long, b3 long")
+
+
+def test_sets_that_share_late_ngrams_only_do_not_meet(spark):
+    # 120 n-grams of their own stand before 680 common ones: 680 of 920 are no link, and brief bitmaps are too full to tell
+    found = [{*range(1000 * k, 1000 * k + 120), *range(10**6, 10**6 + 680)} for k in range(40)]
+    assert jaccard._meet(prefix_rows(spark, found), 80).count() == 0
+
+
+def test_linked_sets_meet_at_the_first_ngram_they_share(spark):
+    r, found = random.Random(6), []
+    for n in (1, 2, 5, 9, 10, 45, 90, 180, 700):
+        base = r.sample(range(10**6), n)
+        for _ in range(12):
+            gone, more = r.randint(0, max(1, n // 6)), r.randint(0, max(1, n // 6))
+            found.append({*r.sample(base, max(1, n - gone)), *r.sample(range(10**6), more)})
+    found = [set(x) for x in {tuple(sorted(x)) for x in found}]
+    links = {(i, j) for j in range(len(found)) for i in range(j) if 100 * len(found[i] & found[j]) >= 80 * len(found[i] | found[j])}
+    edge = sum(100 * len(found[i] & found[j]) == 80 * len(found[i] | found[j]) for i, j in links)
+    got = {tuple(sorted(x)) for x in jaccard._meet(prefix_rows(spark, found), 80).collect()}
+    assert edge and len(links) > 100 and links <= got
